@@ -24,7 +24,8 @@ texts of the classes that take part in a pair, and only of those.
 Words: A-Z lower-cased, split at ASCII white space; shingles of five words are hashed to 64
 bits.  Defined results: a text of fewer than five words is one shingle; null and texts without
 words have an empty set and are linked with nothing; rows that repeat an id count as one
-node; a null id is no node and is kept.
+node, and if their texts differ the one with the least digest is compared; a null id is
+no node and is kept.
 """
 
 from __future__ import annotations
@@ -179,8 +180,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [shingles(text).view(np.int64) for text in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.list_(pa.int64()))], ["rep", "shingles"])
+        rows, found = [], []
+        for k, (text, digest) in enumerate(zip(batch["text"].to_pylist(), batch["digest"].to_pylist(), strict=True)):
+            own = shingles(text)
+            if xxhash.xxh3_128_digest(own.tobytes()) == digest:
+                rows.append(k)
+                found.append(own.view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(rows, pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["rep", "shingles"])
 
 
 def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +199,8 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     classes = signed.where("digest is not null and id is not null").groupBy("digest", "n").agg(
         F.min("id").alias("rep"), F.min("tensor").alias("tensor"), F.min("sketch").alias("sketch")
     )
-    classes = scratch.save(classes.groupBy("rep").agg(*[F.first(c).alias(c) for c in ("n", "digest", "tensor", "sketch")]), "classes")
+    one = classes.groupBy("rep").agg(F.min(F.struct("digest", "n", "tensor", "sketch")).alias("least"))
+    classes = scratch.save(one.select("rep", "least.*"), "classes")
 
     # Tables: (i, j) joins hash i of the first collection with hash j of the second.
     first, second = F.slice("tensor", 1, M), F.slice("tensor", M + 1, M)
@@ -219,7 +226,7 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     side = lambda name: small.select(F.col("rep").alias(name), F.col("n").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
     sized = star.join(side("u"), "u").join(side("v"), "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * threshold)
     star = scratch.save(sized.where(possible("su", "sv", "nu", "nv")).select("u", "v", "nu", "nv"), "star")
-    links = scratch.save(_verified(star, slim, scratch, threshold, "a"), "links")
+    links = scratch.save(_verified(star, slim, classes, scratch, threshold, "a"), "links")
     near = components(links, scratch, "near")
 
     # What the hubs left apart.
@@ -257,7 +264,7 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     rest = rest.join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     sizes = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n{name}"))
     rest = scratch.save(rest.join(sizes("u"), "u").join(sizes("v"), "v"), "rest")
-    more = _verified(rest, slim, scratch, threshold, "b")
+    more = _verified(rest, slim, classes, scratch, threshold, "b")
     comps = components(links.union(more), scratch, "final")
     of = classes.select("digest", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     of = of.select("digest", F.col("n").alias("__n"), F.coalesce("comp", "rep").alias("comp"))
@@ -265,11 +272,11 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("comp")), "id").alias("component_id"))
 
 
-def _verified(pairs: DataFrame, slim: DataFrame, scratch: Scratch, threshold: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, slim: DataFrame, classes: DataFrame, scratch: Scratch, threshold: int, name: str) -> DataFrame:
     """The pairs u, v (sizes nu, nv) whose full sets are as similar as asked."""
-    takes_part = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = slim.join(takes_part, "id", "left_semi").dropDuplicates(["id"])
-    sets = scratch.save(texts.mapInArrow(_sets, "rep long, shingles array<long>"), f"sets-{name}")
+    takes_part = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
+    wanted = classes.select("rep", "digest").join(takes_part, "rep").select(F.col("rep").alias("id"), "digest")
+    sets = scratch.save(slim.join(wanted, "id").mapInArrow(_sets, "rep long, shingles array<long>"), f"sets-{name}")
     side = lambda of: sets.select(F.col("rep").alias(of), F.col("shingles").alias(f"s{of}"))
     both = F.size(F.array_intersect("su", "sv")).cast("long")
     joined = pairs.join(side("v"), "v").join(side("u"), "u")
