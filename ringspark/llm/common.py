@@ -32,12 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Bytes of a batch that goes to a Python worker. The engine's own limit, 64 MB, asks for
+#: many times that much memory in a worker that holds texts and what it makes of them.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "64MB", "4MB")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size unless it has been set."""
+    name, usual, small = BATCH
+    if str(spark.conf.get(name, usual)).lower() in ("64mb", "67108864b", "67108864"):
+        spark.conf.set(name, small)
+
+
 class Scratch:
     """Tables written once to the shared folder, so that lost executors cost a
     reread and not a recomputation.  Deleted by ``drop`` or when Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         _made.append((spark, self.root))
 
@@ -74,8 +87,9 @@ def fold(id_col: str, n: int) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
