@@ -9,8 +9,8 @@ keys would need.  A pair of similarity s shares a table with probability
 From there on no pair of different texts that met is lost, and no group emits all its pairs:
 
 1. Equal shingle sets are one class; a class is handled once.
-2. In each table's bucket the hub (the class that meets most others over all tables) is
-   paired with every other member.  Pairs whose sizes or 128-bin sketches rule the
+2. Every class is paired with the hub of its buckets: of the classes it meets, the one that
+   meets most others over all tables.  Pairs whose sizes or 128-bin sketches rule the
    threshold out (by more than 4.5 standard deviations of the sketch) go; the others are
    verified on full sets, and the links make first components.
 3. Buckets whose members are in several components are gone through again: members of
@@ -47,6 +47,8 @@ M, R = 7, 3
 BINS = 128
 MARGIN = 4.5
 HEAVY = 2048  # members of a bucket's block
+FEW = 8  # a bucket of so many is small
+GROUP = 20_000  # rows of buckets that a task compares at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _state: dict = {}
@@ -139,22 +141,46 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
-    """Rows of a against rows of b: False where sizes or sketches rule the similarity out."""
-    small, large = np.minimum(na[:, None], nb[None, :]), np.maximum(na[:, None], nb[None, :])
-    out = small >= least * large - 1e-9
-    for i in range(len(a)):  # a row at a time: len(b) * BINS values
-        at = np.flatnonzero(out[i])
-        if len(at):
-            some = b[at]
-            used = ((a[i] > 0) | (some > 0)).sum(1)
-            equal = ((some == a[i]) & (a[i] > 0)).sum(1)
-            out[i, at] = equal >= least * used - MARGIN * np.sqrt(np.maximum(used, 1) * least * (1 - least)) - 1
-    return out
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def _apart(pdf: pd.DataFrame, least: float) -> np.ndarray:
+    """The distinct pairs of members of a bucket, in different components, that their sketches don't rule out.
+    Rows are sorted by bucket and pair of blocks."""
+    bins = np.frombuffer(b"".join(pdf.sketch), np.uint16).reshape(-1, BINS)
+    n, comp, rep, lo, hi, own = (pdf[c].to_numpy() for c in ("n", "comp", "rep", "lo", "hi", "own"))
+    key = pdf[["bucket", "lo", "hi"]].to_numpy()
+    start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+    end = np.append(start[1:], len(key))
+    found = []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        some = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
+        i, j = i[some], j[some]
+        for at in range(0, len(i), 1 << 14):
+            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            used = ((bins[x] > 0) | (bins[y] > 0)).sum(1)
+            equal = ((bins[x] == bins[y]) & (bins[x] > 0)).sum(1)
+            ok = equal >= least * used - MARGIN * np.sqrt(np.maximum(used, 1) * least * (1 - least)) - 1
+            found.append(np.column_stack([np.minimum(rep[x[ok]], rep[y[ok]]), np.maximum(rep[x[ok]], rep[y[ok]])]))
+
+    few = np.repeat(end - start <= FEW, end - start) & (lo == hi)
+    group = np.repeat(np.arange(len(start)), end - start)
+    for off in range(1, FEW):  # small buckets all at once
+        i = np.flatnonzero(few[:-off] & (group[:-off] == group[off:]))
+        keep(i, i + off)
+    for a, b in zip(start, end, strict=True):
+        if few[a] if b > a else True:
+            continue
+        rows = np.arange(a, b)
+        left, right = (rows, rows) if lo[a] == hi[a] else (rows[own[a:b] == lo[a]], rows[own[a:b] == hi[a]])
+        for at in range(0, len(left), 256):
+            part = left[at : at + 256]
+            cross = comp[part][:, None] != comp[right][None, :]
+            if lo[a] == hi[a]:
+                cross &= part[:, None] < right[None, :]
+            i, j = np.nonzero(cross)
+            keep(part[i], right[j])
+        if sum(map(len, found)) > 1 << 20:
+            found = [np.unique(np.concatenate(found), axis=0)]
+    return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +238,8 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     # Hubs.
     score = rows.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("score"))
     hub = rows.join(score, "rep").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("low"))).alias("top"))
-    star = rows.join(hub.select("bucket", (-F.col("top.low")).alias("hub")), "bucket").where("rep <> hub")
-    star = star.select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
+    met = rows.join(hub, "bucket").where(F.col("rep") != -F.col("top.low")).groupBy("rep").agg(F.max("top").alias("top"))
+    star = met.select((-F.col("top.low")).alias("u"), F.col("rep").alias("v"))
 
     def ruled(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         x, y = (np.frombuffer(b"".join(c), np.uint16).reshape(-1, BINS) for c in (a, b))
@@ -232,35 +258,22 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     # What the hubs left apart.
     placed = rows.select("bucket", "rep").join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b")
-    placed = placed.join(mixed.select("bucket", "size"), "bucket").join(small, "rep")
+    mixed = scratch.save(mixed.select("bucket", "size"), "mixed")
+    total = mixed.agg(F.sum("size")).first()[0] or 0
+    placed = placed.join(mixed, "bucket").join(small, "rep")
     # Buckets of more than HEAVY members are compared block against block; a member goes to each pair of blocks that has its own.
     blocks = F.ceil(F.col("size") / HEAVY).cast("long")
     placed = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     placed = placed.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "n", "sketch")
+    # Many buckets share a group, which holds GROUP rows on average.
+    placed = placed.withColumn("deal", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(-(-total // GROUP) or 1)))
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rep", kind="stable")
-        lo, hi = pdf.lo.iloc[0], pdf.hi.iloc[0]
-        sides = [pdf] * 2 if lo == hi else [pdf[pdf.own == lo], pdf[pdf.own == hi]]
-        bins, sizes, comps, reps = zip(
-            *((np.frombuffer(b"".join(s.sketch), np.uint16).reshape(-1, BINS), s.n.to_numpy(), s.comp.to_numpy(), s.rep.to_numpy()) for s in sides), strict=True
-        )
-        u, v = [], []
-        for at in range(0, len(reps[0]), 256):
-            part = slice(at, at + 256)
-            apart = comps[0][part, None] != comps[1][None, :]
-            if lo == hi:
-                apart &= reps[0][part, None] < reps[1][None, :]
-            some = np.flatnonzero(apart.any(1))
-            if len(some):
-                i, j = np.nonzero(may_link(bins[0][part][some], bins[1], sizes[0][part][some], sizes[1], least) & apart[some])
-                u.append(reps[0][part][some][i])
-                v.append(reps[1][j])
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
-        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    rest = placed.groupBy("bucket", "lo", "hi").applyInPandas(compared, "u long, v long").distinct()
+        pairs = _apart(pdf.sort_values(["bucket", "lo", "hi", "rep"], kind="stable"), least)
+        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    rest = placed.groupBy("deal").applyInPandas(compared, "u long, v long").distinct()
     rest = rest.join(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti")
     sizes = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n{name}"))
     rest = scratch.save(rest.join(sizes("u"), "u").join(sizes("v"), "v"), "rest")
