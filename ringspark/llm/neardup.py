@@ -10,7 +10,7 @@ From there on no pair of different texts that met is lost, and no group emits al
 
 1. Equal shingle sets are one class; a class is handled once.
 2. Every class is paired with the hub of its buckets: of the classes it meets, the one that
-   meets most others over all tables.  Pairs whose sizes or 128-bin sketches rule the
+   meets most others over all tables.  Pairs whose sizes or 512-bin sketches rule the
    threshold out (by more than 4.5 standard deviations of the sketch) go; the others are
    verified on full sets, and the links make first components.
 3. Buckets whose members are in several components are gone through again: members of
@@ -44,7 +44,7 @@ from .components import components
 
 WORDS = 5
 M, R = 7, 3
-BINS = 128
+BINS = 512
 MARGIN = 4.5
 HEAVY = 2048  # members of a bucket's block
 FEW = 8  # a bucket of so many is small
@@ -133,18 +133,26 @@ def minhashes(found: np.ndarray) -> np.ndarray:
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """One permutation in BINS ranges: 16 bits of the least hash of each; 0 where a range is empty."""
-    out = np.zeros(BINS, np.uint16)
-    own = (found >> np.uint64(57)).astype(np.int64)
-    bins, first = np.unique(own, return_index=True)
-    out[bins] = ((found[first] >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
+    """One permutation in BINS ranges: 8 bits of the least hash of each; 0 where a range is empty."""
+    out = np.zeros(BINS, np.uint8)
+    bins, first = np.unique((found >> np.uint64(55)).astype(np.int64), return_index=True)
+    out[bins] = (found[first] >> np.uint64(20)).astype(np.uint8) % np.uint8(255) + np.uint8(1)
     return out
 
 
+def may_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, least: float) -> np.ndarray:
+    """Row by row: False where two sketches rule the similarity ``least`` out.  The ranges in use are a sample
+    of the union, drawn without replacement; of a small union they are nearly all."""
+    used = ((x > 0) | (y > 0)).sum(1)
+    equal = ((x == y) & (x > 0)).sum(1)
+    rest = np.maximum(0.02, 1 - used * (1 + least) / np.maximum(nx + ny, 1))
+    return equal >= least * used - MARGIN * np.sqrt(used * least * (1 - least) * rest) - 1
+
+
 def _apart(pdf: pd.DataFrame, least: float) -> np.ndarray:
     """The distinct pairs of members of a bucket, in different components, that their sketches don't rule out.
     Rows are sorted by bucket and pair of blocks."""
-    bins = np.frombuffer(b"".join(pdf.sketch), np.uint16).reshape(-1, BINS)
+    bins = np.frombuffer(b"".join(pdf.sketch), np.uint8).reshape(-1, BINS)
     n, comp, rep, lo, hi, own = (pdf[c].to_numpy() for c in ("n", "comp", "rep", "lo", "hi", "own"))
     key = pdf[["bucket", "lo", "hi"]].to_numpy()
     start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
@@ -154,11 +162,9 @@ def _apart(pdf: pd.DataFrame, least: float) -> np.ndarray:
     def keep(i: np.ndarray, j: np.ndarray) -> None:
         some = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
         i, j = i[some], j[some]
-        for at in range(0, len(i), 1 << 14):
-            x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-            used = ((bins[x] > 0) | (bins[y] > 0)).sum(1)
-            equal = ((bins[x] == bins[y]) & (bins[x] > 0)).sum(1)
-            ok = equal >= least * used - MARGIN * np.sqrt(np.maximum(used, 1) * least * (1 - least)) - 1
+        for at in range(0, len(i), 1 << 13):
+            x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
+            ok = may_link(bins[x], bins[y], n[x], n[y], least)
             found.append(np.column_stack([np.minimum(rep[x[ok]], rep[y[ok]]), np.maximum(rep[x[ok]], rep[y[ok]])]))
 
     few = np.repeat(end - start <= FEW, end - start) & (lo == hi)
@@ -242,10 +248,8 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     star = met.select((-F.col("top.low")).alias("u"), F.col("rep").alias("v"))
 
     def ruled(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(c), np.uint16).reshape(-1, BINS) for c in (a, b))
-        used = ((x > 0) | (y > 0)).sum(1)
-        equal = ((x == y) & (x > 0)).sum(1)
-        return pd.Series(equal >= least * used - MARGIN * np.sqrt(np.maximum(used, 1) * least * (1 - least)) - 1)
+        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, BINS) for c in (a, b))
+        return pd.Series(may_link(x, y, na.to_numpy(), nb.to_numpy(), least))
 
     possible = F.pandas_udf(ruled, "boolean")
     small = classes.select("rep", "n", "sketch")
