@@ -3,8 +3,8 @@
 On the unit sphere cosine >= c is distance <= sqrt(2 - 2c).  The tree's top is a set of
 at most 256 pivots, chosen from a sample of at most 4096 vectors; each vector belongs to
 its nearest pivot's cell.  Cells are cut by hash into blocks of ``block`` vectors on
-average, and each block is given a cover tree with nested levels of radius 1, 1/2 and
-1/4.  A vector goes to another cell's blocks only if that cell's covering radius lets it;
+average, and each block is given a cover tree with nested levels of radius 1/2, 1/4 and
+1/8.  A vector goes to another cell's blocks only if that cell's covering radius lets it;
 then each pair of blocks is traversed: pairs of nodes whose centres are further apart
 than both covering radii and the threshold are pruned, pairs that lie within the
 threshold altogether are counted without looking inside, others are opened, and vectors
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .components import components
 
-LEVELS = (1.0, 0.5, 0.25)
+LEVELS = (0.5, 0.25, 0.125)
 PIVOTS, SAMPLE = 256, 4096
 STRIP = 1024
 
@@ -164,11 +164,20 @@ def traverse(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, cosine: float, sa
         links.join(np.concatenate([np.arange(i0, i1), np.arange(j0, j1) + shift]))
 
     def first() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ca, cb = centres(a, 0).astype(np.float32), centres(b, 0).astype(np.float32)
-        for at in range(0, len(ca), STRIP):
-            reach = np.minimum(2.0, a.radius[0][at : at + STRIP, None] + b.radius[0][None, :] + limit + 1e-3).astype(np.float32)
-            i, j = np.nonzero(ca[at : at + STRIP] @ cb.T >= 1 - reach * reach / 2 - 1e-5)
-            yield i + at, j
+        # Leaves (radius 0) against leaves need one comparison with a constant; they are most nodes where nothing clusters.
+        kinds = [[(at, centres(t, 0)[at].astype(np.float32)) for at in (np.flatnonzero(t.radius[0] == 0), np.flatnonzero(t.radius[0] > 0))] for t in (a, b)]
+        for x, (ia, ca) in enumerate(kinds[0]):
+            for y, (ib, cb) in enumerate(kinds[1]):
+                if not len(ia) or not len(ib):
+                    continue
+                for at in range(0, len(ia), STRIP):
+                    if x == y == 0:
+                        least = np.float32(1 - (limit + 1e-3) ** 2 / 2 - 1e-5)
+                    else:
+                        reach = np.minimum(2.0, a.radius[0][ia[at : at + STRIP], None] + b.radius[0][ib][None, :] + limit + 1e-3).astype(np.float32)
+                        least = 1 - reach * reach / 2 - np.float32(1e-5)
+                    hit = np.flatnonzero(ca[at : at + STRIP] @ cb.T >= least)
+                    yield ia[at + hit // len(ib)], ib[hit % len(ib)]
 
     stack = [(0, i, j) for i, j in first()]
     while stack:
