@@ -43,6 +43,14 @@ class NbAgg:
         n, lin, quad, lin_cat = row[:4]
         return cls(int(n), np.array(lin, float), np.array(quad, float), [{e[0]: e[1] for e in es} for es in lin_cat])
 
+    def __mul__(self, other: NbAgg) -> NbAgg:
+        a, b = self, other
+        cats = [{k: v * b.N for k, v in d.items()} for d in a.lin_cat] + [{k: v * a.N for k, v in d.items()} for d in b.lin_cat]
+        return NbAgg(a.N * b.N, np.concatenate([a.lin * b.N, b.lin * a.N]), np.concatenate([a.quad * b.N, b.quad * a.N]), cats)
+
+    def to_row(self) -> tuple:
+        return (self.N, self.lin.tolist(), self.quad.tolist(), [[(k, v) for k, v in sorted(d.items())] for d in self.lin_cat])
+
     def __add__(self, other: NbAgg) -> NbAgg:
         a, b = _ring(self, other, 1)
         return NbAgg(a.N + b.N, a.lin + b.lin, a.quad + b.quad, [_merged(x, y) for x, y in zip(a.lin_cat, b.lin_cat, strict=True)])
@@ -87,6 +95,37 @@ class Triple:
     def __sub__(self, other: Triple) -> Triple:
         return self._with(other, -1)
 
+    def __mul__(self, other: Triple) -> Triple:
+        """The triple of the product of two tables: columns of self, then of other."""
+        a, b = self, other
+        n, m, na, ma, mb = a.N, b.N, len(a.lin), len(a.lin_cat), len(b.lin_cat)
+        times = lambda d, f: {k: v * f for k, v in d.items()}
+        cross = lambda x, y: {(k, l): v * w for k, v in x.items() for l, w in y.items()}
+        quad, num_cat, cat, at = [], [], [], 0
+        for i in range(na):
+            quad += [*(a.quad[at : at + na - i] * m), *(a.lin[i] * b.lin)]
+            at += na - i
+            num_cat += [times(d, m) for d in a.quad_num_cat[i * ma : (i + 1) * ma]] + [times(d, a.lin[i]) for d in b.lin_cat]
+        for i in range(len(b.lin)):
+            num_cat += [times(d, b.lin[i]) for d in a.lin_cat] + [times(d, n) for d in b.quad_num_cat[i * mb : (i + 1) * mb]]
+        at = 0
+        for i in range(ma):
+            cat += [times(d, m) for d in a.quad_cat[at : at + ma - i]] + [cross(a.lin_cat[i], d) for d in b.lin_cat]
+            at += ma - i
+        return Triple(
+            n * m,
+            np.concatenate([a.lin * m, b.lin * n]),
+            np.array([*quad, *(b.quad * n)], float),
+            [times(d, m) for d in a.lin_cat] + [times(d, n) for d in b.lin_cat],
+            num_cat,
+            cat + [times(d, n) for d in b.quad_cat],
+        )
+
+    def to_row(self) -> tuple:
+        """The nested value, by position."""
+        one = lambda ds: [[(k, v) for k, v in sorted(d.items())] for d in ds]
+        return (self.N, self.lin.tolist(), self.quad.tolist(), one(self.lin_cat), one(self.quad_num_cat), [[(*k, v) for k, v in sorted(d.items())] for d in self.quad_cat])
+
     def categories(self) -> list[list[int]]:
         return [sorted(c) for c in self.lin_cat]
 
