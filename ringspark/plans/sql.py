@@ -30,7 +30,7 @@ def lift_values(columns: list[np.ndarray], n: int) -> Triple:
 
     def sums(keys: np.ndarray, weights=None) -> dict:
         values, at = np.unique(keys, return_inverse=True)
-        return dict(zip(values.tolist(), np.bincount(at, weights, len(values)).tolist(), strict=True))
+        return dict(zip(values.tolist(), np.bincount(at, weights, len(values)).astype(float).tolist(), strict=True))
 
     def both(a: np.ndarray, b: np.ndarray) -> dict:
         values, counts = np.unique(np.column_stack([a, b]), axis=0, return_counts=True)
