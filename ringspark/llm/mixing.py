@@ -34,7 +34,7 @@ def words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, scratch: Scratch, share: float, most: float, weights: tuple[int, ...]) -> DataFrame:
-    """sizes: source, source_size. Adds target. Sources may be many: they are ranked by a
+    """sizes: source, source_size and more. Adds target. Sources may be many: they are ranked by a
     range sort with a prefix sum over its partitions, and only sums reach the driver."""
     ordered = scratch.save(
         sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("pid", F.spark_partition_id()), "sources"
@@ -43,10 +43,8 @@ def targets(sizes: DataFrame, scratch: Scratch, share: float, most: float, weigh
         "before", F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     rank = F.row_number().over(Window.partitionBy("pid").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("before")
-    ranked = ordered.join(before, "pid").withColumn("rank", rank)
-    ranked = ranked.select(
-        "source", "source_size", F.get(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights)).cast("int")).cast("long").alias("weight")
-    )
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights)).cast("int")).cast("long")
+    ranked = ordered.join(before, "pid").withColumn("rank", rank).withColumn("weight", weight).drop("pid", "n", "before", "rank")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     budget = share * total
     level = 0.0
@@ -82,27 +80,31 @@ def mix(
     at = "__" + uuid.uuid4().hex[:8]
     scratch = Scratch(docs.sparkSession, "mix")
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
+    # A source's name in the exchange is never null, so that the join and the window ask for the same one.
+    src, cell = f"{at}s", f"{at}c"
+    name = F.when(F.col(source_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string")))
+    size = F.col(size_col) if size_col else words(F.col(text_col))
     keyed = docs.select(
-        "*", F.struct((F.col(size_col) if size_col else words(F.col(text_col))).alias("size"), F.col(source_col).alias("source"), key.alias("key"), F.substring(key, 1, 3).alias("cell")).alias(at)
+        "*", name.alias(src), F.substring(key, 1, 3).alias(cell), F.struct(size.alias("size"), F.col(source_col).alias("source"), key.alias("key")).alias(at)
     )
-    slim = scratch.save(keyed.groupBy(f"{at}.source", f"{at}.cell").agg(F.sum(f"{at}.size").alias("size")), "cells")
-    goal = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, share, most, weights)
-    prior = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = slim.withColumn("before", prior).withColumnRenamed("source", "s").withColumnRenamed("cell", "c").drop("size")
-    goal = goal.withColumnRenamed("source", "s2")
-    cells = scratch.save(cells.join(goal, cells.s.eqNullSafe(goal.s2)).select("s", "c", "before", "source_size", "target"), "offsets")
-    joined = keyed.join(cells, F.col(f"{at}.source").eqNullSafe(F.col("s")) & (F.col(f"{at}.cell") == F.col("c")))
-    running = Window.partitionBy("s", "c").orderBy(f"{at}.key", id_col, f"{at}.size").rowsBetween(Window.unboundedPreceding, -1)
-    size, whole = F.col(f"{at}.size"), F.col("source_size")
-    epochs = F.when(whole > 0, F.floor(F.col("target") / whole)).otherwise(F.lit(0)).cast("long")
-    left = F.floor(F.col("target")).cast("long") - epochs * whole
-    begin = F.col("before") + F.coalesce(F.sum(f"{at}.size").over(running), F.lit(0))
+    slim = scratch.save(keyed.groupBy(f"{at}.source", src, cell).agg(F.sum(f"{at}.size").alias("size")), "cells")
+    goal = targets(slim.groupBy("source", src).agg(F.sum("size").alias("source_size")), scratch, share, most, weights)
+    prior = F.coalesce(F.sum("size").over(Window.partitionBy(src).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = slim.withColumn("before", prior).join(goal.select(src, "source_size", "target"), src)
+    cells = scratch.save(cells.select(src, cell, *[F.col(c).alias(f"{at}_{c}") for c in ("before", "source_size", "target")]), "offsets")
+    # A merge join at every size: documents move once, whatever the size of the offsets.
+    joined = keyed.join(cells.hint("merge"), [src, cell])
+    running = Window.partitionBy(src, cell).orderBy(f"{at}.key", id_col, f"{at}.size").rowsBetween(Window.unboundedPreceding, -1)
+    size, whole, target = F.col(f"{at}.size"), F.col(f"{at}_source_size"), F.col(f"{at}_target")
+    epochs = F.when(whole > 0, F.floor(target / whole)).otherwise(F.lit(0)).cast("long")
+    left = F.floor(target).cast("long") - epochs * whole
+    begin = F.col(f"{at}_before") + F.coalesce(F.sum(f"{at}.size").over(running), F.lit(0))
     joined = joined.withColumns({f"{at}e": epochs, f"{at}p": left - begin})
     part = F.greatest(F.lit(0), F.least(F.col(f"{at}p"), size))
     out = F.struct(
         size.alias("size"),
         whole.alias("source_size"),
-        F.col("target").alias("target"),
+        target.alias("target"),
         (F.col(f"{at}e") * size + part).cast("long").alias("taken"),
         (F.col(f"{at}e") + (F.col(f"{at}p") > 0).cast("long")).alias("copies"),
         F.when((part > 0) & (part < size), part).alias("rest"),
