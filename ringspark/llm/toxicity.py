@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, fold, table
 
-# Digits and signs that stand for letters. l, 1 and | become i, so that either reading meets.
-SUBSTITUTES = {"0": "o", "1": "i", "!": "i", "|": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "8": "b", "9": "g", "l": "i"}
+# Digits and signs that stand for letters. Both l and 1 become i, so that either reading meets.
+SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "@": "a", "5": "s", "$": "s", "7": "t", "8": "b", "9": "g", "l": "i"}
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ӏ": "i",
