@@ -42,9 +42,8 @@ _OTHER = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ſ–—‘-”…€]")
 _loaded: dict = {}
 
 
-def _engines(path: str | None, ranks: str | None):
-    key = (path, ranks)
-    if key not in _loaded:
+def _exact(path: str | None):
+    if ("exact", path) not in _loaded:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -53,27 +52,30 @@ def _engines(path: str | None, ranks: str | None):
 
         exact = Tokenizer.from_file(path or public_tokenizers.path(FILE))
         exact.encode_special_tokens = True
-        quick = None
-        if path is None or ranks is not None:
-            import tiktoken
+        _loaded["exact", path] = exact
+    return _loaded["exact", path]
 
-            with open(ranks or public_tokenizers.path(RANKS), "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        _loaded[key] = exact, quick
-    return _loaded[key]
+
+def _quick(ranks: str | None):
+    if ("quick", ranks) not in _loaded:
+        import public_tokenizers
+        import tiktoken
+
+        with open(ranks or public_tokenizers.path(RANKS), "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _loaded["quick", ranks] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return _loaded["quick", ranks]
 
 
 def encode(texts: list[str | None], path: str | None = None, ranks: str | None = None) -> Iterator[np.ndarray]:
-    """uint32 ids of each text."""
-    exact, quick = _engines(path, ranks)
+    """uint32 ids of each text. An engine is loaded when a text asks for it."""
     for text in texts:
         if not text:
             yield np.zeros(0, np.uint32)
-        elif quick is not None and not _OTHER.search(text):
-            yield np.asarray(quick.encode_to_numpy(text), np.uint32) if hasattr(quick, "encode_to_numpy") else np.array(quick.encode_ordinary(text), np.uint32)
+        elif (path is None or ranks is not None) and not _OTHER.search(text):
+            yield np.array(_quick(ranks).encode_ordinary(text), np.uint32)
         else:
-            yield np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+            yield np.array(_exact(path).encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
