@@ -193,6 +193,9 @@ def train(
     picked = (
         docs.where(F.col("lang").isin(known))
         .select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
+        # First within 32 shares of a language: the last window gets 32 * per_class rows of one at most, at any size.
+        .withColumn("k", F.row_number().over(W.Window.partitionBy("lang", F.pmod("h", F.lit(32))).orderBy("h", "doc_id")))
+        .where(F.col("k") <= per_class)
         .withColumn("k", F.row_number().over(W.Window.partitionBy("lang").orderBy("h", "doc_id")))
         .where(F.col("k") <= per_class)
         .select("doc_id", "h")
