@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import documents
 
 ROUNDS = 8
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}"  # a name has 127 labels at most; an open repeat would recurse
 DATE = r"(?<![0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![0-9]|[./-]\d)"
 SSN = r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9]|-\d)"
 IP = r"(?<![0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![0-9]|\.\d)"
