@@ -23,9 +23,11 @@ from __future__ import annotations
 import functools
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -117,7 +119,11 @@ def matches(auto, folded: str) -> dict[int, float]:
             elif weight > found.get(start, 0.0):
                 found[start] = weight
         if spared and found:
-            found = {s: w for s, w in found.items() if not any(a <= s < b for a, b in spared)}
+            # Sorted, with the furthest end so far: a long text's phrases are passed once.
+            spared.sort()
+            starts = [a for a, _ in spared]
+            reach = list(accumulate((b for _, b in spared), max))
+            found = {s: w for s, w in found.items() if not (k := bisect_right(starts, s)) or s >= reach[k - 1]}
     return found
 
 
