@@ -39,6 +39,7 @@ from .components import components
 LEVELS = (0.5, 0.25, 0.125)
 PIVOTS, SAMPLE = 256, 4096
 STRIP = 1024
+COPIES = 16_384  # rows of vectors on their way to blocks that a task holds at once
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -270,24 +271,27 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dim, cell, g, blocks = (batch[n].to_numpy() for n in ("dim", "cell", "g", "blocks"))
-            rows, partner = [], []
+            several = batch.select(["rep", "weight", "dim", "v", "l0", "l1", "l2", "g"])
+
+            def copies(rows: np.ndarray, partner: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for at in range(0, len(rows), COPIES):
+                    own, to = g[rows[at : at + COPIES]], partner[at : at + COPIES]
+                    taken = several.take(pa.array(rows[at : at + COPIES]))
+                    yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(np.minimum(own, to)), pa.array(np.maximum(own, to))], [*taken.schema.names, "lo", "hi"])
+
             at = np.flatnonzero(cell >= 0)
             if len(at):
                 u = unit(np.asarray(batch["v"].take(pa.array(at)).flatten(), np.float64).reshape(-1, main))
                 goes = (distance(u @ pivots.T) <= reach[None, :]) & (apart[cell[at]] <= reach[cell[at]][:, None] + reach[None, :])
                 for c in cells:
                     some = at[goes[:, c] | (cell[at] == c)]
-                    rows.append(np.repeat(some, cuts[c]))
-                    partner.append(np.tile(slots[c], len(some)))
+                    if len(some):
+                        for part in np.array_split(slots[c], -(-len(slots[c]) * len(some) // COPIES)):  # however many blocks a cell has
+                            yield from copies(np.repeat(some, len(part)), np.tile(part, len(some)))
             for k in np.flatnonzero(cell < 0):
-                rows.append(np.full(blocks[k], k))
-                partner.append(np.arange(blocks[k]))
-            rows, partner = np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(partner or [np.zeros(0, int)])
-            own = g[rows]
-            taken = batch.select(["rep", "weight", "dim", "v", "l0", "l1", "l2", "g"]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(np.minimum(own, partner)), pa.array(np.maximum(own, partner))], [*taken.schema.names, "lo", "hi"]
-            )
+                for first in range(0, int(blocks[k]), COPIES):
+                    part = np.arange(first, min(int(blocks[k]), first + COPIES))
+                    yield from copies(np.full(len(part), k), part)
 
     pairs = treed.mapInArrow(spread, f"rep long, weight long, dim int, v {element}, l0 long, l1 long, l2 long, g long, lo long, hi long")
 
