@@ -136,6 +136,9 @@ def test_pii(spark, odd, none):
     assert ids.select("v").distinct().count() == 2500 and ids.where("v < 0 or v >= 2500").count() == 0
     assert ids.where(pii.feistel(F.col("v"), 50, 50, "k", "t", back=True) != F.col("id")).count() == 0
     assert pii.pseudonymise(odd, "key").count() == odd.count() and pii.pseudonymise(none, "key").count() == 0
+    long = spark.createDataFrame([("x@" + "a." * 30_000 + " Bob.7@x1.example.com",), ("1.2.3.4 " * 3_000,)], "text string")
+    one, many = pii.pseudonymise(long, "key").collect()
+    assert one.pii.n_found == 1 and one.text.split()[1] == b.text.split()[-1] and many.pii.n_found == 3_000
 
 
 def jaccard(a, b):
@@ -196,6 +199,17 @@ def test_packing(spark, odd, none):
     assert packing.pack(packing.pieces(none)).count() == 0
 
 
+def test_embeddings_copies_go_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(30, 4)).repeat(5, 0) + rng.normal(size=(150, 4)) * 0.05
+    df = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(v)] + [(1000, [1.0, 2.0]), (1001, [2.0, 4.0])], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    links = ((unit @ unit.T >= 0.95).sum(1) - 1).tolist() + [1, 1]
+    monkeypatch.setattr(embeddings, "COPIES", 7)
+    got = embeddings.near_duplicates(df, block=4).orderBy("vec_id").collect()
+    assert [r.n_links for r in got] == links and got[-1].component_id == 1000
+
+
 def test_embeddings_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 0.01]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [nan, 1.0]), (8, [inf, 1.0]), (9, [1.0, None]), (10, [1.0]), (11, [1.0]), (12, [1.0, 0.0]), (12, [0.0, 1.0])]

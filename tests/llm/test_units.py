@@ -144,6 +144,13 @@ def test_exception_phrases_spare():
     assert len(toxicity.matches(auto, toxicity.fold_text("such bad weather, bad man, badly"))) == 2
 
 
+@pytest.mark.parametrize("n", [1, 50_000])
+def test_exceptions_of_a_long_text(n):
+    lexicon = toxicity.Lexicon({" bad": 2.0, " sad": 1.0}, tuple(map(toxicity.fold_text, ("bad weather", "so bad weather", "sad"))))
+    found = toxicity.matches(lexicon.automaton(), toxicity.fold_text("so bad weather sad sadly bad " * n))
+    assert len(found) == 2 * n and sum(found.values()) == 3.0 * n
+
+
 def test_language_blocks_agree(monkeypatch):
     value = "Größe und 12 Maße, niño! " * 50
     whole = np.bincount(language.slots(value), minlength=language.SLOTS)
