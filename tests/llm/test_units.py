@@ -144,6 +144,13 @@ def test_exception_phrases_spare():
     assert len(toxicity.matches(auto, toxicity.fold_text("such bad weather, bad man, badly"))) == 2
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", " \n", "\r\n", "\t"])
+@pytest.mark.parametrize("n", [24_000, 49_000, 1_000_000])
+def test_tokens_of_blanks(blank, n):
+    value = "a " + blank * (n // len(blank)) + " b"
+    assert next(packing.encode([value])).tolist() == packing._exact(None).encode(value, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("n", [1, 50_000])
 def test_exceptions_of_a_long_text(n):
     lexicon = toxicity.Lexicon({" bad": 2.0, " sad": 1.0}, tuple(map(toxicity.fold_text, ("bad weather", "so bad weather", "sad"))))
