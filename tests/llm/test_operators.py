@@ -188,6 +188,24 @@ def test_line_dedup(spark, odd, none):
     assert lines.dedup(none).count() == 0
 
 
+def test_line_dedup_cuts_every_later_copy(spark):
+    rows = []
+    for size in range(1, 7):
+        for copy in range(30):
+            own = [f"own line {size} {copy} {k} of this document" for k in range(2 + (copy * 7 + size) % 9)]
+            at = 1 + copy % (len(own) - 1)
+            rows.append((size * 1000 + copy, "\n".join([*own[:at], *(f"passage of {size} lines, number {k}" for k in range(size)), *own[at:]])))
+    # Blank lines inside a passage go with it; short lines count as a run; the id is repeated with other texts.
+    rows += [(9000 + k, f"mine {k} before it\nfirst line of a passage\n\n\n\nlast line of a passage\nmine {k} after it") for k in range(5)]
+    rows += [(9100, f"mine {k} before the menu\n" + "\n".join("abcdefghijklmnopqrstuvwxyz") + f"\nmine {k} after the menu") for k in range(5)]
+    out = [(r.doc_id, r.lines.n_removed) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    for size in range(1, 7):
+        lost = {k % 1000: n for k, n in out if k // 1000 == size}
+        assert lost == {copy: size if copy and size > 1 else 0 for copy in range(30)}, size
+    assert sorted(n for k, n in out if 9000 <= k < 9100) == [0, 5, 5, 5, 5]
+    assert sorted(n for k, n in out if k == 9100) == [0, 26, 26, 26, 26]
+
+
 def test_packing(spark, odd, none):
     rows = packing.pack(packing.pieces(odd, with_ids=False), part_rows=3).toPandas()
     assert len(rows) >= odd.count() and rows.length.max() <= 2048
