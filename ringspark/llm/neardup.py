@@ -23,9 +23,9 @@ texts of the classes that take part in a pair, and only of those.
 
 Words: A-Z lower-cased, split at ASCII white space; shingles of five words are hashed to 64
 bits.  Defined results: a text of fewer than five words is one shingle; null and texts without
-words have an empty set and are linked with nothing; rows that repeat an id count as one
-node, and if their texts differ the one with the least digest is compared; a null id is
-no node and is kept.
+words have an empty set and are linked with nothing; rows that repeat an id with different
+texts are compared each for itself, and ids enter only as the least id of a component; a null
+id is no node and is kept.
 """
 
 from __future__ import annotations
@@ -205,20 +205,24 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 tensor.append(None)
                 bins.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch["id"], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(tensor, pa.list_(pa.int64())), pa.array(bins, pa.binary())],
-            ["id", "n", "digest", "tensor", "sketch"],
+            [batch["id"], batch["h"], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(tensor, pa.list_(pa.int64())), pa.array(bins, pa.binary())],
+            ["id", "h", "n", "digest", "tensor", "sketch"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    done: set[int] = set()
     for batch in batches:
         rows, found = [], []
-        for k, (text, digest) in enumerate(zip(batch["text"].to_pylist(), batch["digest"].to_pylist(), strict=True)):
+        for k, (rep, text, digest) in enumerate(zip(*(batch[c].to_pylist() for c in ("rep", "text", "digest")), strict=True)):
+            if rep in done:  # rows that repeat an id and a text
+                continue
             own = shingles(text)
             if xxhash.xxh3_128_digest(own.tobytes()) == digest:
+                done.add(rep)
                 rows.append(k)
                 found.append(own.view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(rows, pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["rep", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch["rep"].take(pa.array(rows, pa.int64())), pa.array(found, pa.list_(pa.int64()))], ["rep", "shingles"])
 
 
 def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,13 +230,14 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     least = threshold / 100
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.save(slim.mapInArrow(_signatures, "id long, n long, digest binary, tensor array<long>, sketch binary"), "signatures")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    signed = scratch.save(slim.mapInArrow(_signatures, "id long, h long, n long, digest binary, tensor array<long>, sketch binary"), "signatures")
+    # A class is known by a number of its own (rep), which the saved table fixes: ids may repeat with other texts.
+    # Its text is found by the least id and that row's text hash.
     classes = signed.where("digest is not null and id is not null").groupBy("digest", "n").agg(
-        F.min("id").alias("rep"), F.min("tensor").alias("tensor"), F.min("sketch").alias("sketch")
+        F.min(F.struct("id", "h")).alias("least"), F.min("tensor").alias("tensor"), F.min("sketch").alias("sketch")
     )
-    one = classes.groupBy("rep").agg(F.min(F.struct("digest", "n", "tensor", "sketch")).alias("least"))
-    classes = scratch.save(one.select("rep", "least.*"), "classes")
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("rep"), "least.id", "least.h", "digest", "n", "tensor", "sketch"), "classes")
 
     # Tables: (i, j) joins hash i of the first collection with hash j of the second.
     first, second = F.slice("tensor", 1, M), F.slice("tensor", M + 1, M)
@@ -243,7 +248,9 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
 
     # Hubs.
     score = rows.groupBy("rep").agg(F.sum(F.col("size") - 1).alias("score"))
-    hub = rows.join(score, "rep").groupBy("bucket").agg(F.max(F.struct("score", (-F.col("rep")).alias("low"))).alias("top"))
+    score = score.join(classes.select("rep", "id"), "rep")
+    # Of equal scores the least id: copies mostly come after what they were made of, which is closest to all of them.
+    hub = rows.join(score, "rep").groupBy("bucket").agg(F.max(F.struct("score", F.bitwise_not("id").alias("early"), (-F.col("rep")).alias("low"))).alias("top"))
     met = rows.join(hub, "bucket").where(F.col("rep") != -F.col("top.low")).groupBy("rep").agg(F.max("top").alias("top"))
     star = met.select((-F.col("top.low")).alias("u"), F.col("rep").alias("v"))
 
@@ -283,8 +290,8 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     rest = scratch.save(rest.join(sizes("u"), "u").join(sizes("v"), "v"), "rest")
     more = _verified(rest, slim, classes, scratch, threshold, "b")
     comps = components(links.union(more), scratch, "final")
-    of = classes.select("digest", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.select("digest", F.col("n").alias("__n"), F.coalesce("comp", "rep").alias("comp"))
+    of = classes.select("digest", "id", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    of = of.select("digest", "comp").join(of.groupBy("comp").agg(F.min("id").alias("first")), "comp").select("digest", F.col("first").alias("comp"))
     out = signed.select("id", "n", "digest").join(of, "digest", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("comp")), "id").alias("component_id"))
 
@@ -292,8 +299,8 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
 def _verified(pairs: DataFrame, slim: DataFrame, classes: DataFrame, scratch: Scratch, threshold: int, name: str) -> DataFrame:
     """The pairs u, v (sizes nu, nv) whose full sets are as similar as asked."""
     takes_part = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
-    wanted = classes.select("rep", "digest").join(takes_part, "rep").select(F.col("rep").alias("id"), "digest")
-    sets = scratch.save(slim.join(wanted, "id").mapInArrow(_sets, "rep long, shingles array<long>"), f"sets-{name}")
+    wanted = classes.select("rep", "id", "h", "digest").join(takes_part, "rep")
+    sets = scratch.save(slim.join(wanted, ["id", "h"]).select("rep", "text", "digest").mapInArrow(_sets, "rep long, shingles array<long>"), f"sets-{name}")
     side = lambda of: sets.select(F.col("rep").alias(of), F.col("shingles").alias(f"s{of}"))
     both = F.size(F.array_intersect("su", "sv")).cast("long")
     joined = pairs.join(side("v"), "v").join(side("u"), "u")

@@ -171,6 +171,15 @@ def test_neardup_brute_force(spark, odd, none):
     assert neardup.classify(none).count() == 0
 
 
+def test_neardup_repeated_ids(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(100)) for k in "abcdefgh"}
+    near = text["b"] + " and more"
+    rows = [(5, text["a"]), (5, text["b"]), (9, text["b"]), (10, text["b"]), (11, near), (12, text["a"])]
+    rows += [(0, text[k]) for k in "cdefgh"] + [(20 + i, text[k] + " end") for i, k in enumerate("cdefgh")]
+    out = sorted((r.id, r.component_id) for r in neardup.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == sorted([(5, 5), (5, 5), (9, 5), (10, 5), (11, 5), (12, 5)] + [(0, 0)] * 6 + [(20 + i, 0) for i in range(6)])
+
+
 def test_line_dedup(spark, odd, none):
     passage = "\n".join(f"shared line number {k} of a passage" for k in range(12))
     rows = [(k, f"own start {k} a\nown start {k} b\n{passage}\nown end {k} a\nown end {k} b") for k in range(20)] + [(30, passage), (31, passage), (32, "alone"), (33, "alone")]
