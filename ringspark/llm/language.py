@@ -4,9 +4,10 @@ weighted character n-grams (1 to 4 letters, hashed to 2**15 slots).
 * Document frequencies are counted over all training documents.
 * The weights are trained by follow-the-regularised-leader (FTRL-proximal, L1 and
   L2 penalty) on a bounded sample: the first ``per_class`` documents of each
-  language by a hash of the id, whole texts, for at most ``classes`` languages (the
-  most frequent).  The driver gets one sparse vector of 2**15 slots at most for
-  each of them.
+  language by a hash of the id, whole texts.  Every language is learned; of more than
+  ``classes`` each gives fewer documents, so that the sample doesn't grow, down to
+  ``LEAST``.  The driver gets one sparse vector of 2**15 slots at most for each
+  document, and holds 2**15 weights with their state for each language.
 * A temperature is then fitted on the fifth of the sample kept out of training.
 
 Term frequency is a slot's share of the text's n-grams, so a text's logits are one
@@ -33,6 +34,7 @@ from .common import documents, fold
 
 SLOTS = 1 << 15
 ORDERS = (1, 2, 3, 4)
+LEAST = 20  # documents of a language that are learned from however many languages there are
 BLOCK = 1 << 16  # characters that are worked on at once
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917), np.uint32(668265263))
 
@@ -155,7 +157,8 @@ def _vectors(sample: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]
 
 def ftrl(data, labels: np.ndarray, classes: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
     """FTRL-proximal for softmax; the last of SLOTS + 1 coordinates is the bias, without penalty."""
-    z, n = np.zeros((SLOTS + 1, classes)), np.zeros((SLOTS + 1, classes))
+    kind = np.float64 if classes <= 64 else np.float32  # the state is 2 * SLOTS numbers a class
+    z, n = np.zeros((SLOTS + 1, classes), kind), np.zeros((SLOTS + 1, classes), kind)
 
     def weights(at):
         zz, nn = z[at], n[at]
@@ -176,7 +179,7 @@ def ftrl(data, labels: np.ndarray, classes: int, epochs: int, alpha: float, beta
             root = np.sqrt(n[at] + g * g)
             z[at] += g - (root - np.sqrt(n[at])) / alpha * w
             n[at] += g * g
-    return weights(np.arange(SLOTS + 1))
+    return np.concatenate([weights(at) for at in np.array_split(np.arange(SLOTS + 1), 16)])
 
 
 def train(
@@ -188,11 +191,11 @@ def train(
     if not rows:
         return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros(0))
     idf = np.log((1 + rows) / (1 + frequency)) + 1
-    known = [r["lang"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(classes).collect()]
+    known = docs.select("lang").distinct().count()
+    per_class = min(per_class, max(LEAST, per_class * classes // known))
     # Ids first: the row number's limit is applied before the exchange, and texts follow for the chosen ids alone.
     picked = (
-        docs.where(F.col("lang").isin(known))
-        .select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
+        docs.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
         # First within 32 shares of a language: the last window gets 32 * per_class rows of one at most, at any size.
         .withColumn("k", F.row_number().over(W.Window.partitionBy("lang", F.pmod("h", F.lit(32))).orderBy("h", "doc_id")))
         .where(F.col("k") <= per_class)
@@ -201,7 +204,7 @@ def train(
         .select("doc_id", "h")
         .distinct()
     )
-    sample = docs.join(F.broadcast(picked), "doc_id").where(F.col("lang").isin(known)).dropDuplicates(["doc_id", "lang"])
+    sample = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "lang"])
     data = [r for r in _vectors(sample) if len(r[2])]
     languages = sorted({r[0] for r in data})
     if not languages:
@@ -211,7 +214,9 @@ def train(
     scale = 1 / np.mean([np.linalg.norm(x) for _, x in vectors])
     vectors = [(np.append(at, SLOTS), np.append(x * scale, 1.0)) for at, x in vectors]
     y = np.array([where[r[0]] for r in data])
-    out = np.array([k % 5 == 4 for k in range(len(data))]) if len(data) >= 20 else np.zeros(len(data), bool)
+    # The first of each language is learned from.
+    first = np.isin(np.arange(len(y)), np.unique(y, return_index=True)[1])
+    out = ~first & (np.arange(len(y)) % 5 == 4) if len(data) >= 20 else np.zeros(len(data), bool)
     w = ftrl([v for v, o in zip(vectors, out, strict=True) if not o], y[~out], len(languages), epochs, alpha, beta, l1, l2)
     model = Model(languages, (w[:SLOTS] * idf[:, None] * scale).astype(np.float32), w[SLOTS])
     if out.any():
@@ -236,7 +241,7 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
-    """docs with a struct column: lang, score. The model (SLOTS x classes floats, 8 MB at most) goes out as one broadcast."""
+    """docs with a struct column: lang, score. The model (SLOTS floats, 128 kB, a language) goes out as one broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
