@@ -20,7 +20,9 @@ number of links and one root for each of its vectors that has any, never pairs.
 
 Defined results: a vector that is null, empty or zero or holds a null or non-finite
 component links with nothing; vectors of different lengths don't link; rows that repeat
-an id are vectors of their own.
+an id are vectors of their own.  Vectors are known by a number of their own; ids enter only
+as the least id of a component.  A component without any id has a null one, and the rows
+of one of its vectors are kept.
 """
 
 from __future__ import annotations
@@ -218,7 +220,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(F.coalesce(good, F.lit(False)), v).alias("v"))
     classes = scratch.save(
         rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")).select(
-            F.xxhash64("v").alias("key"), F.coalesce("rep", F.lit(-1).cast("long")).alias("rep"), "weight", F.size("v").alias("dim"), "v"
+            F.xxhash64("v").alias("key"), F.monotonically_increasing_id().alias("node"), "rep", "weight", F.size("v").alias("dim"), "v"
         ),
         "classes",
     )
@@ -226,10 +228,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     if not dims:
         return _finish(vectors, rows, classes, None, scratch, id_col, vector_col)
     main, count = dims[0]["dim"], dims[0]["n"]
-    sample = classes.where(F.col("dim") == main).orderBy("key", "rep").limit(SAMPLE).select("v").toPandas()
+    sample = classes.where(F.col("dim") == main).orderBy("key", "node").limit(SAMPLE).select("v").toPandas()
     pivots = choose(unit(_stack(sample.v)), min(PIVOTS, -(-count // block)))
     element = classes.schema["v"].dataType.simpleString()
-    base = "key long, rep long, weight long, dim int, v " + element
+    base = "key long, node long, weight long, dim int, v " + element
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +243,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                 cell[at], to[at] = d.argmin(1), d.min(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(to)], [*batch.schema.names, "cell", "far"])
 
-    assigned = scratch.save(classes.mapInArrow(assign, base + ", cell long, far double"), "assigned")
+    assigned = scratch.save(classes.drop("rep").mapInArrow(assign, base + ", cell long, far double"), "assigned")
     cells = {r["cell"]: r for r in assigned.where("cell >= 0").groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()}  # PIVOTS rows at most
     cuts = {c: -(-r["n"] // block) for c, r in cells.items()}
     bases, total = {}, 0
@@ -260,7 +262,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     ).drop("od")
 
     def planted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "rep"], kind="stable")
+        pdf = pdf.sort_values(["key", "node"], kind="stable")
         labels = nodes(unit(_stack(pdf.v)))
         return pdf.assign(l0=labels[:, 0], l1=labels[:, 1], l2=labels[:, 2])
 
@@ -271,7 +273,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dim, cell, g, blocks = (batch[n].to_numpy() for n in ("dim", "cell", "g", "blocks"))
-            several = batch.select(["rep", "weight", "dim", "v", "l0", "l1", "l2", "g"])
+            several = batch.select(["node", "weight", "dim", "v", "l0", "l1", "l2", "g"])
 
             def copies(rows: np.ndarray, partner: np.ndarray) -> Iterator[pa.RecordBatch]:
                 for at in range(0, len(rows), COPIES):
@@ -293,43 +295,47 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec
                     part = np.arange(first, min(int(blocks[k]), first + COPIES))
                     yield from copies(np.full(len(part), k), part)
 
-    pairs = treed.mapInArrow(spread, f"rep long, weight long, dim int, v {element}, l0 long, l1 long, l2 long, g long, lo long, hi long")
+    pairs = treed.mapInArrow(spread, f"node long, weight long, dim int, v {element}, l0 long, l1 long, l2 long, g long, lo long, hi long")
 
     def linked(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf.lo.iloc[0], pdf.hi.iloc[0]
         sides = []
         for g in (lo,) if lo == hi else (lo, hi):
-            part = pdf[pdf.g == g].sort_values("rep", kind="stable")
+            part = pdf[pdf.g == g].sort_values("node", kind="stable")
             if not len(part):
-                return pd.DataFrame({"rep": [], "links": [], "root": []})
+                return pd.DataFrame({"node": [], "links": [], "root": []})
             tree = Tree(unit(_stack(part.v)), part[["l0", "l1", "l2"]].to_numpy())
-            sides.append((tree, part.weight.to_numpy()[tree.order], part.rep.to_numpy()[tree.order]))
+            sides.append((tree, part.weight.to_numpy()[tree.order], part.node.to_numpy()[tree.order]))
         (a, wa, ra), (b, wb, rb) = sides[0], sides[-1]
         la, lb, root = traverse(a, b, wa, wb, cosine, lo == hi)
-        reps, links = (ra, la) if lo == hi else (np.concatenate([ra, rb]), np.concatenate([la, lb]))
-        return pd.DataFrame({"rep": reps, "links": links, "root": reps[root]})[links > 0]
+        own, links = (ra, la) if lo == hi else (np.concatenate([ra, rb]), np.concatenate([la, lb]))
+        return pd.DataFrame({"node": own, "links": links, "root": own[root]})[links > 0]
 
-    found = scratch.save(pairs.groupBy("dim", "lo", "hi").applyInPandas(linked, "rep long, links long, root long"), "links")
+    found = scratch.save(pairs.groupBy("dim", "lo", "hi").applyInPandas(linked, "node long, links long, root long"), "links")
     return _finish(vectors, rows, classes, found, scratch, id_col, vector_col)
 
 
 def _finish(vectors, rows, classes, found, scratch, id_col, vector_col) -> DataFrame:
     if found is not None:
-        sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-        of = classes.select("v", "rep", "weight").join(sums, "rep", "left").join(
-            components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), scratch, "components").withColumnRenamed("node", "rep"), "rep", "left"
-        )
+        sums = found.groupBy("node").agg(F.sum("links").alias("links"))
+        comps = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), scratch, "components")
+        comps = classes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        comps = comps.select("node", "comp").join(comps.groupBy("comp").agg(F.min("rep").alias("first")), "comp")
+        of = classes.select("v", "node", "weight").join(sums, "node", "left").join(comps, "node")
         of = of.select(
-            F.col("v").alias("__v"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("comp", "rep").alias("component_id")
+            F.col("v").alias("__v"),
+            (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"),
+            F.col("first").alias("component_id"),
+            (F.col("node") == F.col("comp")).alias("__root"),
         )
     else:
-        of = classes.select(F.col("v").alias("__v"), F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"))
+        of = classes.select(F.col("v").alias("__v"), F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"), F.lit(True).alias("__root"))
     left = vectors.drop("n_links", "component_id", "kept")
     out = left.join(of, F.col(vector_col) == F.col("__v"), "left").drop("__v")
     component = F.coalesce("component_id", F.col(id_col).cast("long"))
-    return out.withColumns({"n_links": F.coalesce("n_links", F.lit(0).cast("long")), "component_id": component}).withColumn(
-        "kept", F.coalesce(F.col(id_col).cast("long") == F.col("component_id"), F.lit(False))
-    )
+    out = out.withColumns({"n_links": F.coalesce("n_links", F.lit(0).cast("long")), "component_id": component})
+    unnamed = F.col("component_id").isNull() & F.coalesce("__root", F.lit(True))
+    return out.withColumn("kept", F.coalesce(F.col(id_col).cast("long") == F.col("component_id"), unnamed)).drop("__root")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
