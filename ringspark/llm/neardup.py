@@ -25,7 +25,7 @@ Words: A-Z lower-cased, split at ASCII white space; shingles of five words are h
 bits.  Defined results: a text of fewer than five words is one shingle; null and texts without
 words have an empty set and are linked with nothing; rows that repeat an id with different
 texts are compared each for itself, and ids enter only as the least id of a component; a null
-id is no node and is kept.
+id is no node and is kept (the pipeline's stage compares it as well).
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
@@ -227,6 +227,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document row: id, n_shingles, component_id. threshold: the similarity in hundredths."""
+    out = _classified(docs, threshold, id_col, text_col, F.col("id").isNotNull())
+    least = F.when(F.col("id").isNotNull(), F.col("least.id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce(least, "id").alias("component_id"))
+
+
+def _classified(docs: DataFrame, threshold: int, id_col: str, text_col: str, which: Column) -> DataFrame:
+    """A row for each document row: id, h (hash of the text), n, least: the least id (nulls last) and text hash of its
+    component. Rows that aren't ``which`` make no class."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     least = threshold / 100
@@ -234,8 +242,8 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     signed = scratch.save(slim.mapInArrow(_signatures, "id long, h long, n long, digest binary, tensor array<long>, sketch binary"), "signatures")
     # A class is known by a number of its own (rep), which the saved table fixes: ids may repeat with other texts.
     # Its text is found by the least id and that row's text hash.
-    classes = signed.where("digest is not null and id is not null").groupBy("digest", "n").agg(
-        F.min(F.struct("id", "h")).alias("least"), F.min("tensor").alias("tensor"), F.min("sketch").alias("sketch")
+    classes = signed.where(F.col("digest").isNotNull() & which).groupBy("digest", "n").agg(
+        F.min(_place()).alias("least"), F.min("tensor").alias("tensor"), F.min("sketch").alias("sketch")
     )
     classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("rep"), "least.id", "least.h", "digest", "n", "tensor", "sketch"), "classes")
 
@@ -290,17 +298,22 @@ def classify(docs: DataFrame, threshold: int = 85, id_col: str = "doc_id", text_
     rest = scratch.save(rest.join(sizes("u"), "u").join(sizes("v"), "v"), "rest")
     more = _verified(rest, slim, classes, scratch, threshold, "b")
     comps = components(links.union(more), scratch, "final")
-    of = classes.select("digest", "id", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    of = of.select("digest", "comp").join(of.groupBy("comp").agg(F.min("id").alias("first")), "comp").select("digest", F.col("first").alias("comp"))
-    out = signed.select("id", "n", "digest").join(of, "digest", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("comp")), "id").alias("component_id"))
+    of = classes.select("digest", "id", "h", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    of = of.select("digest", "comp").join(of.groupBy("comp").agg(F.min(_place()).alias("least")), "comp").select("digest", "least")
+    return signed.select("id", "h", "n", "digest").join(of, "digest", "left").select("id", "h", "n", "least")
+
+
+def _place() -> Column:
+    """Orders rows by id, nulls last, then by the text's hash."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "h")
 
 
 def _verified(pairs: DataFrame, slim: DataFrame, classes: DataFrame, scratch: Scratch, threshold: int, name: str) -> DataFrame:
     """The pairs u, v (sizes nu, nv) whose full sets are as similar as asked."""
     takes_part = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
     wanted = classes.select("rep", "id", "h", "digest").join(takes_part, "rep")
-    sets = scratch.save(slim.join(wanted, ["id", "h"]).select("rep", "text", "digest").mapInArrow(_sets, "rep long, shingles array<long>"), f"sets-{name}")
+    same = slim["id"].eqNullSafe(wanted["id"]) & (slim["h"] == wanted["h"])
+    sets = scratch.save(slim.join(wanted, same).select("rep", "text", "digest").mapInArrow(_sets, "rep long, shingles array<long>"), f"sets-{name}")
     side = lambda of: sets.select(F.col("rep").alias(of), F.col("shingles").alias(f"s{of}"))
     both = F.size(F.array_intersect("su", "sv")).cast("long")
     joined = pairs.join(side("v"), "v").join(side("u"), "u")
@@ -313,9 +326,22 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; groups at the similarity of 0.8."""
-    gone = classify(docs.select("doc_id", "text"), threshold=80).where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """One row of each group stays, of the smallest id (nulls last; then the least text hash); groups at the similarity of 0.8.
+    Rows that repeat an id and a text are copies as well, and so are rows without an id; texts without words all stay."""
+    scratch = Scratch(spark, "neardup-stage")
+    rows = _classified(docs.select("doc_id", "text"), 80, "doc_id", "text", F.lit(True)).where("least is not null")
+    rows = rows.withColumn("gone", ~_place().eqNullSafe(F.col("least")))
+    marked = rows.groupBy("id", "h").agg(F.min("gone").alias("gone"), F.count("*").alias("times")).where("gone or times > 1")
+    marked = scratch.save(marked.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "gone"), "marked")
+    hashed = docs.withColumn("__own", F.xxhash64("text"))
+    same = lambda m: hashed["doc_id"].eqNullSafe(m["__id"]) & (hashed["__own"] == m["__h"])
+    out = hashed.join(marked, same(marked), "left_anti").select(*docs.columns)
+    repeated = marked.where("not gone")
+    if not repeated.limit(1).count():
+        return out
+    # Of equal rows one, chosen by partial aggregation: however many there are, none gathers in a task.
+    one = hashed.join(repeated, same(repeated), "left_semi").groupBy("doc_id", "__own").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return out.union(one.select("__row.*"))
 
 
 ORACLE = r"""
