@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
@@ -86,6 +87,17 @@ def fold(id_col: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % n, F.lit(0))
 
 
+def make_room(df: DataFrame, *names: str) -> DataFrame:
+    """df with columns of these names (in any case) renamed to the next free one, ``name_1`` and so on, so that
+    an operator's results can take the names and the caller's columns are kept."""
+    taken = {c.lower() for c in df.columns} | {n.lower() for n in names}
+    for c in [c for c in df.columns if c.lower() in {n.lower() for n in names}]:
+        k = next(k for k in range(1, len(taken) + 2) if f"{c}_{k}".lower() not in taken)
+        df = df.withColumnRenamed(c, f"{c}_{k}")
+        taken.add(f"{c}_{k}".lower())
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

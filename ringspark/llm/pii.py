@@ -7,15 +7,24 @@ date stays a date written the same way.  The permutation depends on the kind and
 key alone, so equal values get equal pseudonyms in all documents, and different values
 different ones.
 
-Numbers: the value's index in its format's domain a * b goes through alternating
-Feistel rounds, L := (L + F(R)) mod a, then R := (R + F(L)) mod b, F being SHA-256 of key,
-kind, round and half.  E-mail names: the same on strings, each letter or digit being
-shifted within its class.
+Numbers: the value's index in its format's domain, whose size is exactly a * b, goes
+through alternating Feistel rounds, L := (L + F(R)) mod a, then R := (R + F(L)) mod b, F being
+SHA-256 of key, kind, round and half; so every valid value is replaced and no two values
+meet.  Domains: cards by number of digits, 10^(n-2) behind a fixed first digit; phone numbers of
+ten digits whose area and exchange begin with 2 to 9 (80000 * 80000) and all others
+(60000 * 60000); international numbers by number of digits behind the world zone; SSNs
+898 * 99 * 9999; addresses 2^16 * 2^16; the 73049 days of 1900 to 2099 (17 * 4297).
+E-mail names: the same on strings, each letter or digit being shifted within its class.
+
+Phones: ten digits in groups, with or without 1 before them, and numbers of 8 to 15 digits in any
+grouping behind a plus sign.  Ten digits in one run, without a plus sign, are no phone number here.
 
 Built-in functions only: a text is split at its findings, the findings are mapped and
 the pieces joined again.  Texts without a digit next to a separator or an ``@`` pass
 through one regular expression and nothing else.  Defined results: null stays null, empty
-stays empty, what fails its validation stays as it is.
+stays empty, what fails its validation stays as it is; repeated rows get equal texts, and an empty
+table gives an empty result.  A caller's column with the result's name is kept under the
+next free name (``pii_1``).
 """
 
 from __future__ import annotations
@@ -23,18 +32,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, make_room
 
 ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}"  # a name has 127 labels at most; an open repeat would recurse
 DATE = r"(?<![0-9./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![0-9]|[./-]\d)"
 SSN = r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9]|-\d)"
 IP = r"(?<![0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![0-9]|\.\d)"
-PHONE = r"(?<![0-9A-Za-z+-])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![0-9]|-\d)"
+PHONE = r"(?<![0-9A-Za-z+-])(?:\+1\d{10}|(?:\+?1[ .-]|\+1)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![0-9]|-\d)"
+ABROAD = r"(?<![0-9A-Za-z+])\+[2-9](?:[ .-]?\(?\d\)?){7,14}(?![0-9])"
 CARD = r"(?<![0-9A-Za-z.-])(?:\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![0-9A-Za-z]|[.-]\d)"
-KINDS = {"email": EMAIL, "date": DATE, "ssn": SSN, "ip": IP, "phone": PHONE, "card": CARD}
+KINDS = {"email": EMAIL, "date": DATE, "ssn": SSN, "ip": IP, "phone": PHONE, "abroad": ABROAD, "card": CARD}
 ANY = "|".join(KINDS.values())
-DAYS = 270  # dates: 270 * 270 days from 1900-01-01 on, to 2099-08-04
+DAYS = (17, 4297)  # 1900-01-01 to 2099-12-31 has 17 * 4297 days
 
 
 def let(value: Column, f) -> Column:
@@ -48,7 +58,7 @@ def _number(key: str, kind: str, turn: Column, half: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
 
 
-def feistel(value: Column, a: int, b: int, key: str, kind: str, back: bool = False) -> Column:
+def feistel(value: Column, a: int, b: int, key: str, kind: str, back: bool = False, rounds: int = ROUNDS) -> Column:
     """A permutation of the longs from 0 to a * b - 1; ``back`` undoes it."""
     sign = -1 if back else 1
     start = F.struct(F.call_function("div", value, F.lit(b)).cast("long").alias("l"), (value % b).cast("long").alias("r"))
@@ -58,7 +68,7 @@ def feistel(value: Column, a: int, b: int, key: str, kind: str, back: bool = Fal
         right = F.pmod(s["r"] + _number(key, kind, i, s["l"]) % b * sign, F.lit(b))
         return F.struct(F.when(i % 2 == 0, left).otherwise(s["l"]).cast("long").alias("l"), F.when(i % 2 == 1, right).otherwise(s["r"]).cast("long").alias("r"))
 
-    turns = range(ROUNDS - 1, -1, -1) if back else range(ROUNDS)
+    turns = range(rounds - 1, -1, -1) if back else range(rounds)
     return F.aggregate(F.array(*map(F.lit, turns)), start, turn, lambda s: s["l"] * b + s["r"])
 
 
@@ -107,7 +117,7 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The area, exchange and line; where area and exchange begin with 2 to 9 they still do."""
+    """The area, exchange and line; where area and exchange begin with 2 to 9 they still do, and else they still don't."""
 
     def of(d: Column) -> Column:
         area, office, line = (F.substring(d, a, n).cast("long") for a, n in ((1, 3), (4, 3), (7, 4)))
@@ -118,14 +128,38 @@ def _phone(m: Column, key: str) -> Column:
                 (F.call_function("div", x, F.lit(8000000)) + 200).cast("string"), (F.call_function("div", x, F.lit(10000)) % 800 + 200).cast("string"), _pad(x % 10000, 4)
             ),
         )
-        loose = _pad(feistel(d.cast("long"), 100000, 100000, key, "phone0"), 10)
+        # The others: 200 areas with all exchanges, then 800 areas with 200 exchanges each.
+        low = 200 * 1000 * 10000
+        other = F.when(area < 200, (area * 1000 + office) * 10000 + line).otherwise(low + ((area - 200) * 200 + office) * 10000 + line)
+        loose = let(
+            feistel(other, 60000, 60000, key, "phone0"),
+            lambda x: F.when(x < low, _pad(x, 10)).otherwise(
+                F.concat(
+                    (F.call_function("div", x - low, F.lit(2000000)) + 200).cast("string"), _pad(F.call_function("div", x - low, F.lit(10000)) % 200, 3), _pad((x - low) % 10000, 4)
+                )
+            ),
+        )
         return F.when((area >= 200) & (office >= 200), numbered).otherwise(loose)
 
-    code = F.regexp_extract(m, r"^\+1[ .-]?", 0)
+    code = F.regexp_extract(m, r"^(?:\+?1[ .-]|\+1)", 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     return F.concat(code, _fill(rest, let(_digits(rest), of)))
 
 
+def _abroad(m: Column, key: str) -> Column:
+    """The digits behind the first, which is the world zone, by their number."""
+
+    def of(d: Column) -> Column:
+        out = d
+        for n in range(8, 16):
+            free = n - 1
+            body = F.substring(d, 2, free).cast("long")
+            out = F.when(F.length(d) == n, F.concat(F.substring(d, 1, 1), _pad(feistel(body, 10 ** (free // 2), 10 ** (free - free // 2), key, f"abroad{n}"), free))).otherwise(out)
+        return out
+
+    return _fill(m, let(_digits(m), of))
+
+
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     index = area - 1 - (area > 666).cast("long")  # of 898 areas: 1 to 899 without 666
@@ -154,8 +188,7 @@ def _day(shape: str, key: str):
     """From a day's number to its pseudonym, written in the given shape."""
 
     def of(x: Column) -> Column:
-        day = F.date_add(FIRST(), feistel(x, DAYS, DAYS, key, "date").cast("int"))
-        return F.when(x < DAYS * DAYS, F.date_format(day, shape))
+        return F.date_format(F.date_add(FIRST(), feistel(x, *DAYS, key, "date", rounds=2 * ROUNDS).cast("int")), shape)
 
     return of
 
@@ -199,7 +232,7 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.aggregate(F.array(*map(F.lit, range(4))), start, turn, lambda s: F.concat(s["l"], s["r"])), F.lit("@"), domain)
 
 
-OF = {"email": _email, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
+OF = {"email": _email, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "abroad": _abroad, "card": _card}
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -219,8 +252,8 @@ def _changed(kind: str | None):
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", out: str = "pii") -> DataFrame:
     """docs with the text replaced and a struct column: n_found (values replaced) and found (by kind)."""
-    text = F.col(text_col)
-    likely = F.coalesce(text.rlike(r"@|\d[\d.) /-]*\d"), F.lit(False))
+    docs, text = make_room(docs, out), F.col(text_col)
+    likely = F.coalesce(text.rlike(r"@|\d[\d.() /-]*\d"), F.lit(False))
     found = F.when(likely, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     own = "__" + out
     rows = docs.withColumn(own, found)
