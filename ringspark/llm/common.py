@@ -98,6 +98,14 @@ def make_room(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df has: for columns that come and go within an operator."""
+    k = 0
+    while any(c.lower().startswith(f"__{k}") for c in df.columns):
+        k += 1
+    return f"__{k}"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

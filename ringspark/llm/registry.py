@@ -25,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_mixing": mixing.ORACLE,
         "op3_url_filter": urls.ORACLE,
         "op7_minhash_dedup": neardup.ORACLE,
+        "op8_line_dedup": lines.ORACLE,
         "op10_embedding_dedup": embeddings.ORACLE,
     }
