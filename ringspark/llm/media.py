@@ -7,8 +7,12 @@ bands where it also exceeds the frames beside it, and pairs every peak with thos
 the frames 1 to 3 after it.  A pair is one long: time of the first peak << 32 |
 first bin << 20 | second bin << 8 | distance in frames, sorted, so the array is coded by time.
 
+The array is a column of the result; ``feature`` names it by its length and SHA-256.
+
 Memory: one payload and blocks of 2048 frames. Defined results: null and empty texts
-give one unit of 576 bytes 255 and no pairs; equal payloads give equal values.
+give one unit of 576 bytes 255 and no pairs; equal payloads give equal values, so repeated rows
+are alike; of equally strong bins the lowest is the peak; an empty table gives an empty result.
+Callers' columns with the names of results are kept under the next free names (``media_1``).
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, make_room
 
 UNIT = 576
 HOP = 288
@@ -96,43 +100,28 @@ def media(text: Column) -> Column:
 
 
 def features(stored: Column) -> Column:
-    """What the stored bytes say once read back, with the pairs' array."""
-
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, pairs array<long>")
-    def read(column: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in column:
-            data = decode(x)
-            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(x), hashlib.sha256(x).hexdigest(), fingerprint(data)))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "pairs"])
-
-    return read(stored)
-
-
-def digest(stored: Column) -> Column:
-    """``features`` with the pairs' count and sha256 in place of the array."""
+    """What the stored bytes say once read back, with the pairs' array and its name."""
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pairs array<long>")
     def read(column: pd.Series) -> pd.DataFrame:
         rows = []
         for x in column:
             data = decode(x)
             pairs = fingerprint(data)
             name = f"{len(pairs)}:{hashlib.sha256(pairs.astype('<i8').tobytes()).hexdigest()[:32]}"
-            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(x), hashlib.sha256(x).hexdigest(), name))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(x), hashlib.sha256(x).hexdigest(), name, pairs))
+        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pairs"])
 
     return read(stored)
 
 
-def to_media(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def to_media(docs: DataFrame, text_col: str = "text", out: str = "media", features_out: str = "features") -> DataFrame:
     """docs with the columns media (WAV bytes) and features (struct with the pairs)."""
-    out = docs.withColumn("media", media(F.col(text_col)))
-    return out.withColumn("features", features(F.col("media")))
+    docs = make_room(docs, out, features_out)
+    return docs.withColumn(out, media(F.col(text_col))).withColumn(features_out, features(F.col(out)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = docs.withColumn("d", digest(media(F.col("text"))))
+    out = to_media(documents(spark, sf_dir).select("doc_id", "text"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return out.select("doc_id", n_bytes.alias("n_bytes"), "d.*")
+    return out.select("doc_id", n_bytes.alias("n_bytes"), "features.*")
