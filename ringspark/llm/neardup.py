@@ -6,17 +6,22 @@ table (i, j) combines hash i of the first with hash j of the second.  So m * m t
 keys would need.  A pair of similarity s shares a table with probability
 (1 - (1 - s**r)**m)**2: 99.96 % at 0.85 with m = 9 and r = 3 (81 tables, 54 minhashes).
 
-From there on no pair of different texts that met is lost, and no group emits all its pairs:
+From there on no group emits all its pairs, and of the pairs that met only those are left out
+that a sketch rules out:
 
 1. Equal shingle sets are one class; a class is handled once.
 2. Every class is paired with the hub of its buckets: of the classes it meets, the one that
    meets most others over all tables.  Pairs whose sizes or 512-bin sketches rule the
-   threshold out (by more than 4.5 standard deviations of the sketch) go; the others are
-   verified on full sets, and the links make first components.
+   threshold out go; the others are verified on full sets, and the links make first
+   components.  A sketch rules a pair out where it lies more than 4.5 standard deviations and
+   one bin below the threshold: about three in a million of the pairs that lie at the threshold
+   itself, and fewer the more similar they are.
 3. Buckets whose members are in several components are gone through again: members of
    different components are compared by sketch, block against block inside a task, and only
    those pairs that the sketch can't rule out are emitted, verified and linked.  Members of
-   one component need no comparison; so copies around a hub cost no pairs.
+   one component need no comparison; so copies around a hub cost no pairs, and of a large
+   bucket the members of its largest component go to the blocks of the others alone.  What is
+   left is quadratic in a bucket's members outside its largest component.
 
 Components are found by label propagation over the links.  Sets are made again from the
 texts of the classes that take part in a pair, and only of those.
@@ -25,7 +30,8 @@ Words: A-Z lower-cased, split at ASCII white space; shingles of five words are h
 bits.  Defined results: a text of fewer than five words is one shingle; null and texts without
 words have an empty set and are linked with nothing; rows that repeat an id with different
 texts are compared each for itself, and ids enter only as the least id of a component; a null
-id is no node and is kept (the pipeline's stage compares it as well).
+id is no node and is kept (the pipeline's stage compares it as well); an empty table gives
+no rows.  The result has columns of its own, so the caller's can't clash with it.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, own_prefix
 from .components import components
 
 WORDS = 5
@@ -166,6 +172,8 @@ def _apart(pdf: pd.DataFrame, least: float) -> np.ndarray:
             x, y = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
             ok = may_link(bins[x], bins[y], n[x], n[y], least)
             found.append(np.column_stack([np.minimum(rep[x[ok]], rep[y[ok]]), np.maximum(rep[x[ok]], rep[y[ok]])]))
+        if len(found) > 1 and sum(map(len, found)) > 1 << 18:
+            found[:] = [np.unique(np.concatenate(found), axis=0)]
 
     few = np.repeat(end - start <= FEW, end - start) & (lo == hi)
     group = np.repeat(np.arange(len(start)), end - start)
@@ -184,8 +192,6 @@ def _apart(pdf: pd.DataFrame, least: float) -> np.ndarray:
                 cross &= part[:, None] < right[None, :]
             i, j = np.nonzero(cross)
             keep(part[i], right[j])
-        if sum(map(len, found)) > 1 << 20:
-            found = [np.unique(np.concatenate(found), axis=0)]
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
@@ -278,14 +284,23 @@ def _classified(docs: DataFrame, threshold: int, id_col: str, text_col: str, whi
     placed = rows.select("bucket", "rep").join(near.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size")).where("a <> b")
     mixed = scratch.save(mixed.select("bucket", "size"), "mixed")
-    total = mixed.agg(F.sum("size")).first()[0] or 0
-    placed = placed.join(mixed, "bucket").join(small, "rep")
-    # Buckets of more than HEAVY members are compared block against block; a member goes to each pair of blocks that has its own.
-    blocks = F.ceil(F.col("size") / HEAVY).cast("long")
-    placed = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # Buckets of more than HEAVY members are compared block against block; a member goes to each pair of blocks that
+    # has its own. Members of the largest component fill blocks of their own, which meet those of the others alone.
+    counts = placed.join(mixed.where(F.col("size") > HEAVY).select("bucket"), "bucket").groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    heavy = counts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size"))
+    blocks = lambda n: F.ceil(n / HEAVY).cast("long")
+    heavy = heavy.select("bucket", F.col("top.comp").alias("main"), blocks(F.col("size") - F.col("top.c")).alias("bo"), blocks(F.col("top.c")).alias("bm"), F.col("top.c").alias("c"), "size")
+    heavy = scratch.save(heavy, "heavy")
+    copies = heavy.agg(F.sum((F.col("size") - F.col("c")) * (F.col("bo") + F.col("bm")) + F.col("c") * F.col("bo"))).first()[0] or 0
+    total = copies + (mixed.where(F.col("size") <= HEAVY).agg(F.sum("size")).first()[0] or 0)
+    placed = placed.join(mixed.select("bucket"), "bucket").join(heavy.select("bucket", "main", "bo", "bm"), "bucket", "left").join(small, "rep")
+    main, number = F.coalesce(F.col("comp") == F.col("main"), F.lit(False)), F.xxhash64("rep")
+    one = F.lit(1).cast("long")
+    own = F.when(main, F.col("bo") + F.pmod(number, F.col("bm"))).otherwise(F.pmod(number, F.coalesce("bo", one)))
+    meets = F.when(main, F.col("bo")).otherwise(F.coalesce(F.col("bo") + F.col("bm"), one))
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)))
     placed = placed.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "comp", "n", "sketch")
-    # Many buckets share a group, which holds GROUP rows on average.
+    # Many pairs of blocks share a group, which holds GROUP rows on average: as many groups as the copies ask for.
     placed = placed.withColumn("deal", F.pmod(F.xxhash64("bucket", "lo", "hi"), F.lit(-(-total // GROUP) or 1)))
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -332,16 +347,19 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _classified(docs.select("doc_id", "text"), 80, "doc_id", "text", F.lit(True)).where("least is not null")
     rows = rows.withColumn("gone", ~_place().eqNullSafe(F.col("least")))
     marked = rows.groupBy("id", "h").agg(F.min("gone").alias("gone"), F.count("*").alias("times")).where("gone or times > 1")
-    marked = scratch.save(marked.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "gone"), "marked")
-    hashed = docs.withColumn("__own", F.xxhash64("text"))
-    same = lambda m: hashed["doc_id"].eqNullSafe(m["__id"]) & (hashed["__own"] == m["__h"])
-    out = hashed.join(marked, same(marked), "left_anti").select(*docs.columns)
-    repeated = marked.where("not gone")
+    p = own_prefix(docs)
+    i, h, g, own = (p + x for x in ("id", "h", "gone", "own"))
+    marked = scratch.save(marked.select(F.col("id").alias(i), F.col("h").alias(h), F.col("gone").alias(g)), "marked")
+    hashed = docs.withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(h))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = hashed.join(marked, same, "left_anti").select(*columns)
+    repeated = marked.where(~F.col(g))
     if not repeated.limit(1).count():
         return out
     # Of equal rows one, chosen by partial aggregation: however many there are, none gathers in a task.
-    one = hashed.join(repeated, same(repeated), "left_semi").groupBy("doc_id", "__own").agg(F.min(F.struct(*docs.columns)).alias("__row"))
-    return out.union(one.select("__row.*"))
+    one = hashed.join(repeated, same, "left_semi").groupBy("doc_id", own).agg(F.min(F.struct(*columns)).alias(p + "row"))
+    return out.union(one.select(p + "row.*"))
 
 
 ORACLE = r"""
