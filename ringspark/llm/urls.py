@@ -13,7 +13,10 @@ list that needs more, or a cascade that does not end within ``max_levels``, is j
 an equi-join with the distinct listed keys instead, which is as exact.
 
 Built-in functions only.  Defined results: a null url, or one without ``://``, has an
-empty host and path, fits no rule, and is allowed unless the empty key is listed.
+empty host and path, fits no rule, and is allowed unless the empty key is listed; null keys
+of the list list nothing; repeated urls are judged alike, however long; an empty table gives an
+empty result; of rules of equal length that fit, the last by host and path holds.  Callers'
+columns with the names of results are kept under the next free names (``host_1``).
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, make_room, own_prefix, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (
@@ -103,7 +106,10 @@ def cascade(keys: DataFrame, listed: DataFrame, max_bytes: int = 64 << 20, max_l
         at = inside.select(F.explode(F.array(*_positions(F.col("key"), level, bits, hashes))).alias("p"))
         words = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
         whole = spark.range(bits // 64).join(words, F.col("id") == F.col("w"), "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-        packed = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("words"))
+        # In runs of 1024 words first, so that the one row is joined of few pieces.
+        sorted_bits = lambda: F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"])
+        runs = whole.groupBy(F.call_function("div", "id", F.lit(1024)).alias("run")).agg(sorted_bits().alias("bits"))
+        packed = runs.select(F.col("run").alias("id"), "bits").agg(F.flatten(sorted_bits()).alias("words"))
         out.levels.append((scratch.save(packed, f"level{level}").scalar(), bits, hashes))
         false = scratch.save(outside.where(out.holds(F.col("key"), level)), f"false{level}")
         inside, outside, n_in, n_out = false, inside, false.count(), n_in
@@ -113,17 +119,18 @@ def cascade(keys: DataFrame, listed: DataFrame, max_bytes: int = 64 << 20, max_l
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url_col: str = "url", max_bytes: int = 64 << 20) -> DataFrame:
     """pages with the columns host, path, rule and verdict (block or allow); the listed keys are hosts."""
     host, path = parse(F.col(url_col))
-    own = {"host": host, "path": path}
-    out = pages.drop("host", "path", "rule", "verdict").withColumns(own)
+    p = own_prefix(pages)
+    parsed = pages.withColumns({p + "h": host, p + "p": path})  # before the names are taken: the url may be in one of them
+    out = make_room(parsed, "host", "path", "rule", "verdict").withColumnsRenamed({p + "h": "host", p + "p": "path"})
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     built = cascade(out.select(F.col("host").alias("key")), listed, max_bytes)
     if built is not None:
         blocked = built.listed(F.col("host"))
     else:
-        out = out.join(listed.where("key is not null").select(F.col("key").alias("__listed")).distinct(), F.col("host") == F.col("__listed"), "left")
-        blocked = F.col("__listed").isNotNull()
+        out = out.join(listed.where("key is not null").select(F.col("key").alias(p + "listed")).distinct(), F.col("host") == F.col(p + "listed"), "left")
+        blocked = F.col(p + "listed").isNotNull()
     out = out.withColumns({"rule": name, "verdict": F.coalesce(verdict, F.when(blocked, "block").otherwise("allow"))})
-    return out.drop("__listed")
+    return out.drop(p + "listed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
