@@ -22,7 +22,8 @@ Defined results: a vector that is null, empty or zero or holds a null or non-fin
 component links with nothing; vectors of different lengths don't link; rows that repeat
 an id are vectors of their own.  Vectors are known by a number of their own; ids enter only
 as the least id of a component.  A component without any id has a null one, and the rows
-of one of its vectors are kept.
+of one of its vectors are kept.  Callers' columns with the names of results are kept under
+the next free names (``kept_1``).
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, make_room, own_prefix, table
 from .components import components
 
 LEVELS = (0.5, 0.25, 0.125)
@@ -330,12 +331,15 @@ def _finish(vectors, rows, classes, found, scratch, id_col, vector_col) -> DataF
         )
     else:
         of = classes.select(F.col("v").alias("__v"), F.lit(0).cast("long").alias("n_links"), F.col("rep").alias("component_id"), F.lit(True).alias("__root"))
-    left = vectors.drop("n_links", "component_id", "kept")
-    out = left.join(of, F.col(vector_col) == F.col("__v"), "left").drop("__v")
-    component = F.coalesce("component_id", F.col(id_col).cast("long"))
+    p = own_prefix(vectors)
+    left = vectors.withColumns({p + "i": F.col(id_col).cast("long"), p + "v": F.col(vector_col)})
+    left = make_room(left, "n_links", "component_id", "kept")
+    of = of.withColumnsRenamed({"__v": p + "of", "__root": p + "root"})
+    out = left.join(of, F.col(p + "v") == F.col(p + "of"), "left")
+    component = F.coalesce("component_id", F.col(p + "i"))
     out = out.withColumns({"n_links": F.coalesce("n_links", F.lit(0).cast("long")), "component_id": component})
-    unnamed = F.col("component_id").isNull() & F.coalesce("__root", F.lit(True))
-    return out.withColumn("kept", F.coalesce(F.col(id_col).cast("long") == F.col("component_id"), unnamed)).drop("__root")
+    unnamed = F.col("component_id").isNull() & F.coalesce(p + "root", F.lit(True))
+    return out.withColumn("kept", F.coalesce(F.col(p + "i") == F.col("component_id"), unnamed)).drop(p + "i", p + "v", p + "of", p + "root")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

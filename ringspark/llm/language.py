@@ -15,7 +15,10 @@ sum over its n-grams: time and memory follow the text's length.
 
 Defined results: ``und`` with score 0 where the text is null or holds no letter, or
 where nothing could be learned; rows without a language teach nothing; repeated rows
-get the same answer; a text's language, source and id never enter a prediction.
+get the same answer; a text's language, source and id never enter a prediction; of
+equally likely languages the first by code point is the answer; an empty table gives an
+empty result.  A caller's column with the result's name is kept under the next free
+name (``language_1``).
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import documents, fold
+from .common import documents, fold, make_room
 
 SLOTS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -248,7 +251,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
     def predicted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(x) for x in texts], columns=["lang", "score"])
 
-    return docs.withColumn(out, predicted(F.col(text_col)))
+    return make_room(docs, out).withColumn(out, predicted(F.col(text_col)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

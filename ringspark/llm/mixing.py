@@ -14,6 +14,7 @@ size, and the excess is reshared among the others until none is above.
 Defined results: null and empty texts have size 0; a null source is a source of its
 own, the last; rows that repeat an id follow one another by size; an empty table
 gives an empty result; a budget above what all sources allow gives each its most.
+A caller's column with the result's name is kept under the next free name (``mix_1``).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Scratch, documents
+from .common import WORD, Scratch, documents, make_room, own_prefix
 
 WEIGHTS = (3, 1, 2)
 
@@ -73,10 +74,12 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     size_col: str | None = None,
+    out: str = "mix",
 ) -> DataFrame:
-    """docs with a struct column ``mix``: size, source_size, target, taken (words), copies
+    """docs with a struct column: size, source_size, target, taken (words), copies
     (whole or begun), rest (words of the last copy where that is cut, else null).
     size_col: a column that has the sizes already."""
+    docs = make_room(docs, out)
     at = "__" + uuid.uuid4().hex[:8]
     scratch = Scratch(docs.sparkSession, "mix")
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
@@ -101,7 +104,7 @@ def mix(
     begin = F.col(f"{at}_before") + F.coalesce(F.sum(f"{at}.size").over(running), F.lit(0))
     joined = joined.withColumns({f"{at}e": epochs, f"{at}p": left - begin})
     part = F.greatest(F.lit(0), F.least(F.col(f"{at}p"), size))
-    out = F.struct(
+    result = F.struct(
         size.alias("size"),
         whole.alias("source_size"),
         target.alias("target"),
@@ -109,15 +112,16 @@ def mix(
         (F.col(f"{at}e") + (F.col(f"{at}p") > 0).cast("long")).alias("copies"),
         F.when((part > 0) & (part < size), part).alias("rest"),
     )
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], out.alias("mix"))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], result.alias(out))
 
 
-def materialise(mixed: DataFrame, text_col: str = "text") -> DataFrame:
+def materialise(mixed: DataFrame, text_col: str = "text", out: str = "mix") -> DataFrame:
     """A row for each copy; the copy at a cut keeps its first ``rest`` words."""
-    rows = mixed.where("mix.copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies"))))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("mix.rest").cast("int")), "")
-    text = F.when((F.col("__copy") == F.col("mix.copies")) & F.col("mix.rest").isNotNull(), cut).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, text).drop("__copy", "mix")
+    copy = own_prefix(mixed) + "copy"
+    rows = mixed.where(F.col(f"{out}.copies") > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{out}.copies"))))
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col(f"{out}.rest").cast("int")), "")
+    text = F.when((F.col(copy) == F.col(f"{out}.copies")) & F.col(f"{out}.rest").isNotNull(), cut).otherwise(F.col(text_col))
+    return rows.withColumn(text_col, text).drop(copy, out)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -144,4 +148,5 @@ select doc_id, size::bigint as size, source_size, round(target, 6) as target,
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: documents of sources under target repeat, those over it are thinned."""
-    return materialise(mix(docs))
+    own = own_prefix(docs) + "mix"
+    return materialise(mix(docs, out=own), out=own)
