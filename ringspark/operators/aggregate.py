@@ -52,35 +52,56 @@ def prepared(df: DataFrame, num, cat, by, nulls: str) -> DataFrame:
     )
 
 
-def _long(df: DataFrame, num, cat, by, nulls: str, nb: bool) -> DataFrame:
-    n, m = len(num), len(cat)
-    if not n and not m:
-        raise ValueError("no columns")
+def products(n: int, nb: bool) -> list[tuple[int, int]]:
+    """The pairs of numbers whose products are summed."""
+    return [(i, i) for i in range(n)] if nb else pairs(n)
+
+
+def reduced(df: DataFrame, num, cat, by, nulls: str = "error", nb: bool = False) -> DataFrame:
+    """A row for each combination of group (__b0, ...) and categories (__c0, ...): count __n, sums __s0, ..., sums of products __q0, ..."""
     rows = prepared(df, num, cat, by, nulls)
-    keys, cats = [f"__b{k}" for k in range(len(by))], [f"__c{k}" for k in range(m)]
-    products = [(i, i) for i in range(n)] if nb else pairs(n)
-    sums = [F.sum(f"__x{i}").alias(f"__s{i}") for i in range(n)] + [F.sum(F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"__q{k}") for k, (i, j) in enumerate(products)]
-    small = rows.groupBy(*keys, *cats).agg(F.count(F.lit(1)).alias("__n"), *sums)
-    base = [_entry("N", 0, F.col("__n")), *[_entry("lin", i, F.col(f"__s{i}")) for i in range(n)], *[_entry("quad", k, F.col(f"__q{k}")) for k in range(len(products))]]
-    if not m:
-        return small.select(*keys, F.inline(F.array(*base)))
-    sets = [(), *[(i,) for i in range(m)], *([] if nb else [(i, j) for i, j in pairs(m) if i < j])]
-    again = [F.sum("__n").alias("__n"), *[F.sum(f"__s{i}").alias(f"__s{i}") for i in range(n)], *[F.sum(f"__q{k}").alias(f"__q{k}") for k in range(len(products))]]
-    key_columns = [F.col(k) for k in keys]
-    grouped = small.groupingSets([[*key_columns, *[F.col(cats[i]) for i in s]] for s in sets], *keys, *cats).agg(F.grouping_id().alias("__g"), *again)
+    sums = [F.sum(f"__x{i}").alias(f"__s{i}") for i in range(len(num))]
+    sums += [F.sum(F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"__q{k}") for k, (i, j) in enumerate(products(len(num), nb))]
+    return rows.groupBy(*[f"__b{k}" for k in range(len(by))], *[f"__c{k}" for k in range(len(cat))]).agg(F.count(F.lit(1)).alias("__n"), *sums)
+
+
+def _entries(n: int, m: int, nb: bool):
+    """From a set of categories to the entries that its row of count, sums and products gives."""
     triangle = {p: k for k, p in enumerate(pairs(m))}
+    c = lambda i: F.col(f"__c{i}")
 
     def entries(s: tuple[int, ...]) -> Column:
         if not s:
-            return F.array(*base)
+            return F.array(
+                _entry("N", 0, F.col("__n")),
+                *[_entry("lin", i, F.col(f"__s{i}")) for i in range(n)],
+                *[_entry("quad", k, F.col(f"__q{k}")) for k in range(len(products(n, nb)))],
+            )
         if len(s) == 2:
-            return F.array(_entry("quad_cat", triangle[s], F.col("__n"), F.col(cats[s[0]]), F.col(cats[s[1]])))
-        c = F.col(cats[s[0]])
-        out = [_entry("lin_cat", s[0], F.col("__n"), c)]
+            return F.array(_entry("quad_cat", triangle[s], F.col("__n"), c(s[0]), c(s[1])))
+        out = [_entry("lin_cat", s[0], F.col("__n"), c(s[0]))]
         if not nb:
-            out += [_entry("quad_num_cat", i * m + s[0], F.col(f"__s{i}"), c) for i in range(n)] + [_entry("quad_cat", triangle[s[0], s[0]], F.col("__n"), c, c)]
+            out += [_entry("quad_num_cat", i * m + s[0], F.col(f"__s{i}"), c(s[0])) for i in range(n)]
+            out.append(_entry("quad_cat", triangle[s[0], s[0]], F.col("__n"), c(s[0]), c(s[0])))
         return F.array(*out)
 
+    return entries
+
+
+def _sets(m: int, nb: bool) -> list[tuple[int, ...]]:
+    return [(), *[(i,) for i in range(m)], *([] if nb else [(i, j) for i, j in pairs(m) if i < j])]
+
+
+def blocks(small: DataFrame, n: int, m: int, keys: list[str], nb: bool) -> DataFrame:
+    """The long rows of a reduced table: every block is a grouping set over its rows."""
+    entries = _entries(n, m, nb)
+    if not m:
+        return small.select(*keys, F.inline(entries(())))
+    values = ["__n", *[f"__s{i}" for i in range(n)], *[f"__q{k}" for k in range(len(products(n, nb)))]]
+    cats = [f"__c{k}" for k in range(m)]
+    sets = _sets(m, nb)
+    grouped = small.groupingSets([[*map(F.col, keys), *[F.col(cats[i]) for i in s]] for s in sets], *keys, *cats)
+    grouped = grouped.agg(F.grouping_id().alias("__g"), *[F.sum(v).alias(v) for v in values])
     chosen = None
     for s in sets:
         gid = sum(1 << (m - 1 - i) for i in range(m) if i not in s)
@@ -88,23 +109,35 @@ def _long(df: DataFrame, num, cat, by, nulls: str, nb: bool) -> DataFrame:
     return grouped.select(*keys, F.inline(chosen))
 
 
+def _long(df: DataFrame, num, cat, by, nulls: str, nb: bool, having=None) -> DataFrame:
+    if not num and not cat:
+        raise ValueError("no columns")
+    if having is not None:
+        # Of group columns alone (else this fails), so groups can be left out row by row, at the scan.
+        df.sparkSession.createDataFrame([], T.StructType([df.schema[c] for c in by])).where(having)
+        df = df.where(having)
+    keys = [f"__b{k}" for k in range(len(by))]
+    return blocks(reduced(df, num, cat, by, nulls, nb), len(num), len(cat), keys, nb)
+
+
 def _named(df: DataFrame, by) -> DataFrame:
     for k, c in enumerate(by):
         df = df.withColumnRenamed(f"__b{k}", c)
     return df
 
 
-def cofactor_long(df: DataFrame, num, cat=(), by=(), nulls: str = "error") -> DataFrame:
+def cofactor_long(df: DataFrame, num, cat=(), by=(), nulls: str = "error", having=None) -> DataFrame:
     """by, block (N, lin, quad, lin_cat, quad_num_cat, quad_cat), pos, key1, key2, value: a row for each entry."""
-    return _named(_long(df, num, cat, by, nulls, False), by)
+    return _named(_long(df, num, cat, by, nulls, False, having), by)
 
 
-def nb_long(df: DataFrame, num, cat=(), by=(), nulls: str = "error") -> DataFrame:
-    return _named(_long(df, num, cat, by, nulls, True), by)
+def nb_long(df: DataFrame, num, cat=(), by=(), nulls: str = "error", having=None) -> DataFrame:
+    return _named(_long(df, num, cat, by, nulls, True, having), by)
 
 
 def assemble(long: DataFrame, n: int, m: int, keys, nb: bool, alias: str, names: str = "agg") -> DataFrame:
     """The nested form of long rows: a row for each group; without groups one row, of zeros where there is no input."""
+    long = long.repartition(*keys) if keys else long.repartition(1)  # one exchange for both groupings
     parts = long.groupBy(*keys, "block", "pos").agg(F.array_sort(F.collect_list(F.struct("key1", "key2", "value"))).alias("items"))
     whole = parts.groupBy(*keys).agg(F.collect_list(F.struct("block", "pos", "items")).alias("__all"))
 
@@ -131,14 +164,15 @@ def assemble(long: DataFrame, n: int, m: int, keys, nb: bool, alias: str, names:
     return whole.select(*keys, F.struct(*fields).cast(kind).alias(alias, metadata={"ring": {"num": n, "cat": m}}))
 
 
-def cofactor(df: DataFrame, num, cat=(), by=(), nulls: str = "error", alias: str = "triple") -> DataFrame:
-    """A triple for each group (one row without groups). nulls: "error" or "skip" (rows with a null in num or cat)."""
-    long = _long(df, num, cat, by, nulls, False)
+def cofactor(df: DataFrame, num, cat=(), by=(), nulls: str = "error", alias: str = "triple", having=None) -> DataFrame:
+    """A triple for each group (one row without groups). nulls: "error" or "skip" (rows with a null in num or cat).
+    having: a predicate on the group's columns (SQL text or Column), applied at the scan."""
+    long = _long(df, num, cat, by, nulls, False, having)
     return _named(assemble(long, len(num), len(cat), [f"__b{k}" for k in range(len(by))], False, alias), by)
 
 
-def nb_agg(df: DataFrame, num, cat=(), by=(), nulls: str = "error", alias: str = "nb_agg") -> DataFrame:
-    long = _long(df, num, cat, by, nulls, True)
+def nb_agg(df: DataFrame, num, cat=(), by=(), nulls: str = "error", alias: str = "nb_agg", having=None) -> DataFrame:
+    long = _long(df, num, cat, by, nulls, True, having)
     return _named(assemble(long, len(num), len(cat), [f"__b{k}" for k in range(len(by))], True, alias), by)
 
 
@@ -169,11 +203,53 @@ def explode_triple(df: DataFrame, col: str, by=(), nb: bool = False) -> DataFram
     return df.select(*by, F.inline(entries_of(col, df, nb)))
 
 
+def summed(df: DataFrame, col: str, by, nb: bool) -> DataFrame:
+    """The long rows of the ring sum. A triple is a dense row, a row for each category (its count and sums side
+    by side, as the lists of a column share their keys) and one for each pair of categories; those are summed."""
+    n, m = arity(df, col)
+    _, lin, quad = df.schema[col].dataType.fieldNames()[:3]
+    v = lambda f: F.col(f"`{col}`.{f}")
+    values = [*[f"__s{i}" for i in range(n)], *[f"__q{k}" for k in range(len(products(n, nb)))]]
+    names = ["__n", *values]
+    none = F.lit(None).cast("double")
+
+    def row(s: int, given: list[Column], *keys: Column) -> Column:
+        at = [*keys, *[F.lit(None).cast("int")] * (2 - len(keys))]
+        cells = [*given, *[none] * (len(names) - len(given))]
+        return F.struct(F.lit(s).alias("__set"), at[0].alias("__k1"), at[1].alias("__k2"), *[x.cast("double").alias(c) for x, c in zip(cells, names, strict=True)])
+
+    def of_key(e: Column, i: Column, items: Column) -> Column:
+        other = F.get(items, i)
+        return F.when(other["key"] == e["key"], other["value"]).otherwise(F.raise_error(F.lit("the lists of a triple differ in their keys")).cast("double"))
+
+    sets = _sets(m, nb)
+    triangle = {p: k for k, p in enumerate(pairs(m))}
+    found = [F.array(row(0, [v("N"), *[F.get(v(lin), F.lit(i)) for i in range(n)], *[F.get(v(quad), F.lit(k)) for k in range(len(products(n, nb)))]]))]
+    kind = f"array<struct<__set:int,__k1:int,__k2:int,{','.join(c + ':double' for c in names)}>>"
+
+    def of_pair(at: int, s: tuple[int, int]) -> Column:
+        return F.transform(F.get(v("quad_cat"), F.lit(triangle[s])), lambda e: row(at, [e["value"]], e["key1"], e["key2"]))
+
+    def of_one(at: int, j: int) -> Column:
+        sums = [] if nb else [F.get(v("quad_num_cat"), F.lit(x * m + j)) for x in range(n)]
+        return F.transform(F.get(v("lin_cat"), F.lit(j)), lambda e, i: row(at, [e["value"], *[of_key(e, i, x) for x in sums]], e["key"]))
+
+    for at, s in enumerate(sets[1:], 1):
+        found.append(F.coalesce(of_pair(at, s) if len(s) == 2 else of_one(at, s[0]), F.array().cast(kind)))
+    long = df.where(F.col(f"`{col}`").isNotNull()).select(*by, F.inline(F.concat(*found)))
+    long = long.groupBy(*by, "__set", "__k1", "__k2").agg(*[F.sum(c).alias(c) for c in names])
+    # The second key belongs to the second category of a pair.
+    cats = {f"__c{i}": F.coalesce(*[F.when(F.col("__set") == at, F.col(f"__k{s.index(i) + 1}")) for at, s in enumerate(sets) if i in s]) for i in range(m)}
+    long = long.withColumns(cats) if cats else long
+    entries, chosen = _entries(n, m, nb), None
+    for at, s in enumerate(sets):
+        chosen = F.when(F.col("__set") == at, entries(s)) if chosen is None else chosen.when(F.col("__set") == at, entries(s))
+    return long.select(*by, F.inline(chosen))
+
+
 def _sum(df: DataFrame, col: str, by, alias: str, nb: bool) -> DataFrame:
     n, m = arity(df, col)
-    long = explode_triple(df.where(F.col(f"`{col}`").isNotNull()), col, by, nb)
-    long = long.groupBy(*by, "block", "pos", "key1", "key2").agg(F.sum("value").alias("value"))
-    return assemble(long, n, m, list(by), nb, alias)
+    return assemble(summed(df, col, list(by), nb), n, m, list(by), nb, alias)
 
 
 def sum_triple(df: DataFrame, col: str, by=(), alias: str = "triple") -> DataFrame:

@@ -13,7 +13,7 @@ from ..ml.models import LDA, QDA, LinearRegression, NaiveBayes
 from ..ml.triple import NbAgg, Triple
 from ..operators.aggregate import cofactor, cofactor_long, explode_triple, nb_agg, nb_long, sum_nb_agg, sum_triple
 from ..operators.encode import encode, unique_categories
-from ..operators.factorized import factorized_chain, factorized_cofactor
+from ..operators.factorized import factorized_cofactor, factorized_long
 from ..sources.tables import table
 from ..types import pairs
 from . import sql
@@ -231,7 +231,7 @@ def self_join(spark, sf) -> DataFrame:
     """Many to many: lineitem with itself on the part."""
     a = line(spark, sf).select("l_partkey", "q", "rf")
     b = line(spark, sf).select("l_partkey", F.col("d").alias("d2"), F.col("ls").alias("ls2"))
-    return _flat(factorized_cofactor(a, b, ["l_partkey"], ["q"], ["rf"], ["d2"], ["ls2"]), "triple")
+    return factorized_long([{"df": a, "num": ["q"], "cat": ["rf"], "on": ["l_partkey"]}, {"df": b, "num": ["d2"], "cat": ["ls2"]}])
 
 
 def two_way(spark, sf) -> DataFrame:
@@ -246,7 +246,7 @@ def three_way(spark, sf) -> DataFrame:
         {"df": orders(spark, sf), "num": ["total"], "cat": ["os"], "on": ["o_orderkey"]},
         {"df": line(spark, sf).withColumnRenamed("l_orderkey", "o_orderkey"), "num": ["q"], "cat": ["rf"]},
     ]
-    return _flat(factorized_chain(chain), "triple")
+    return factorized_long(chain)
 
 
 def greeting(spark, sf) -> DataFrame:
@@ -259,7 +259,7 @@ def queries() -> dict:
         "cofactor_grouped": flat_line(NUM, CAT[:1], ["ls"]),
         "cofactor_numeric": flat_line(NUM),
         "cofactor_mixed": lambda s, f: _flat(cofactor(line(s, f), NUM, CAT), "triple"),
-        "cofactor_having": lambda s, f: _flat(cofactor(line(s, f), NUM[:2], CAT[:1], ["ln"]).where("ln = 2"), "triple", ["ln"]),
+        "cofactor_having": lambda s, f: _flat(cofactor(line(s, f), NUM[:2], CAT[:1], ["ln"], having="ln = 2"), "triple", ["ln"]),
         "cofactor_categories_only": flat_line([], CAT),
         "nb_agg_grouped": lambda s, f: _flat(nb_agg(line(s, f), NUM, CAT[:2], ["ln"]), "nb_agg", ["ln"], True),
         "nb_agg_long": lambda s, f: nb_long(line(s, f), NUM, CAT),

@@ -9,19 +9,21 @@ The three strategies give the same result and differ in what they aggregate in a
 
 * ``baseline``: the observed rows.
 * ``low`` (few nulls): a running triple of all rows, minus the triple of the rows where the
-  column is null; afterwards plus the triple of those rows as imputed.
+  column is null; afterwards plus the triple of those rows as imputed.  The rows as imputed and
+  those of the next column are aggregated together, so a step reads the null rows once.
 * ``high`` (many nulls): the triple of the rows without any null, computed once, plus the
   triple of the other rows where the column was observed.
 
 ``null_pattern`` (bit k: column k was null) makes the partitions: they are filters on it,
 disjoint by construction, and a sink may be partitioned by it.  Each step is one
-aggregation and a projection; the table is checkpointed in the shared folder after every
-iteration, so plans stay short and lost executors cost a reread.
+aggregation and a projection; the table is written to the shared folder after every
+iteration and the one before is dropped, so plans stay short, lost executors cost a reread and
+no more than two tables are kept.
 """
 
 from __future__ import annotations
 
-import tempfile
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 from ..ml.models import LDA, LinearRegression
 from ..ml.triple import Triple
 from ..operators.aggregate import cofactor
+from ..scratch import Scratch
 
 MASK = "null_pattern"
 
@@ -74,13 +77,17 @@ def init(df: DataFrame, num_nulls, cat_nulls) -> DataFrame:
     return with_mask.withColumns({c: F.coalesce(F.col(c).cast(kinds[c]), F.lit(0 if values[c] is None else values[c]).cast(kinds[c])) for c in columns})
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ringspark-mice-"))
-    return df.checkpoint()
+class _Tables:
+    """The table as it was last written; the one before goes."""
+
+    def __init__(self, spark):
+        self.scratch, self.k = Scratch(spark, "mice"), 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.k += 1
+        out = self.scratch.save(df, f"table{self.k}")
+        self.scratch.drop(f"table{self.k - 1}")
+        return out
 
 
 def mice(
@@ -111,21 +118,23 @@ def mice(
         return df
     bit = {c: 1 << k for k, c in enumerate(nulls)}
     was_null = lambda c: F.col(MASK).bitwiseAND(F.lit(bit[c])) != 0
-    table = _checkpoint(init(df, num_nulls, cat_nulls))
+    tables = _Tables(df.sparkSession)
+    table = tables.save(init(df, num_nulls, cat_nulls))
     aggregate = lambda rows: Triple.from_row(cofactor(rows, num, cat).first()["triple"])
+    turns = [*cat_nulls, *num_nulls] if order == "cat_first" else [*num_nulls, *cat_nulls]
+    steps = [(step, c) for step in range(iterations) for c in turns]
     full = aggregate(table) if strategy == "low" else None
     static = aggregate(table.where(F.col(MASK) == 0)) if strategy == "high" else None
-    turns = [*cat_nulls, *num_nulls] if order == "cat_first" else [*num_nulls, *cat_nulls]
-    for step in range(iterations):
-        for c in turns:
-            if strategy == "baseline":
-                train = aggregate(table.where(~was_null(c)))
-            elif strategy == "low":
-                train = full - aggregate(table.where(was_null(c)))
-            else:
-                train = static + aggregate(table.where(~was_null(c) & (F.col(MASK) != 0)))
-            if not train.N:
-                continue  # never observed: the fill stays
+    gone = aggregate(table.where(was_null(turns[0]))) if strategy == "low" and steps else None
+    for k, (step, c) in enumerate(steps):
+        following = steps[k + 1][1] if k + 1 < len(steps) else None
+        if strategy == "baseline":
+            train = aggregate(table.where(~was_null(c)))
+        elif strategy == "low":
+            train = full - gone
+        else:
+            train = static + aggregate(table.where(~was_null(c) & (F.col(MASK) != 0)))
+        if train.N:  # else never observed: the fill stays
             if c in num:
                 label = num.index(c)
                 model = LinearRegression.fit(train, label, include_variance=True, solver=solver)
@@ -138,23 +147,28 @@ def mice(
                 model = LDA.fit(train, cat.index(c), shrinkage)
                 value = model.predict(num, [x for x in cat if x != c])
             table = table.withColumn(c, F.when(was_null(c), value).otherwise(F.col(c)))
-            if noise and c in num:
-                table = _checkpoint(table)  # a draw is made once
-            if strategy == "low":
-                full = train + aggregate(table.where(was_null(c)))
-        table = _checkpoint(table)
+        if (noise and c in num) or c == turns[-1]:
+            table = tables.save(table)  # a draw is made once
+        if strategy == "low" and following:
+            # Bit 0: null in this column, now imputed; bit 1: null in the next one.
+            flag = was_null(c).cast("int") + 2 * was_null(following).cast("int")
+            parts = {r["__flag"]: Triple.from_row(r["triple"]) for r in cofactor(table.withColumn("__flag", flag).where("__flag > 0"), num, cat, ["__flag"]).collect()}
+            total = lambda bit: sum((t for f, t in parts.items() if f & bit), Triple())  # noqa: B023, E731
+            full, gone = train + total(1), total(2)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     return table.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) if c in nulls else F.col(f"`{c}`") for c in df.columns])
 
 
 def _normal(key, seed: int) -> Column:
-    """A standard normal draw by Box and Muller from two hashes of the key."""
-    uniform = lambda k: (F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(k)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    return F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * F.lit(float("3.141592653589793")) * uniform(1))
+    """A standard normal draw by Box and Muller from two MD5 sums of the key."""
+
+    def uniform(k: int) -> Column:
+        text = F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed)), F.lit(str(k)))
+        return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
+
+    return F.sqrt(-2 * F.log(uniform(0))) * F.cos(2 * F.lit(math.pi) * uniform(1))
 
 
 def knock_out(df: DataFrame, columns, key: str, every: int = 5) -> DataFrame:
     """Nulls for testing: column i loses the values of rows whose (key * 7 + i) is divisible by ``every``."""
     return df.withColumns({c: F.when((F.col(key) * 7 + i) % every == 0, F.lit(None)).otherwise(F.col(c)) for i, c in enumerate(columns)})
-
-
