@@ -77,6 +77,20 @@ class Triple:
         one = lambda lists: [{e[0]: e[1] for e in es} for es in lists]
         return cls(int(n), np.array(lin, float), np.array(quad, float), one(lin_cat), one(num_cat), [{(e[0], e[1]): e[2] for e in es} for es in cat])
 
+    @classmethod
+    def from_long(cls, rows, n: int, m: int) -> Triple:
+        """From rows of block, pos, key1, key2, value (of one group)."""
+        out = cls.zero(n, m)
+        for r in rows:
+            block, pos, value = r["block"], r["pos"], r["value"] or 0.0
+            if block == "N":
+                out.N = int(value)
+            elif block in ("lin", "quad"):
+                getattr(out, block)[pos] = value
+            else:
+                getattr(out, block)[pos][(r["key1"], r["key2"]) if block == "quad_cat" else r["key1"]] = value
+        return out
+
     def _with(self, other: Triple, sign: int) -> Triple:
         a, b = _ring(self, other, sign)
         lists = lambda f: [_merged(x, y, sign) for x, y in zip(getattr(a, f), getattr(b, f), strict=True)]

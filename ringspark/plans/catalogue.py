@@ -16,10 +16,11 @@ from ..operators.encode import encode, unique_categories
 from ..operators.factorized import factorized_cofactor, factorized_long
 from ..sources.tables import table
 from ..types import pairs
-from . import sql
+from . import algebra_sql, sql
 from .mice import MASK, count_not_nulls, count_nulls, init, knock_out, mice, partition
 
 NUM, CAT = ["q", "p", "d", "t"], ["rf", "ls", "ln"]
+VALUES = {"rf": [65, 78, 82], "ls": [70, 79], "ln": [1, 2, 3, 4, 5, 6, 7]}  # the codes of A N R, F O, and line numbers
 LINE = """(select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_orderkey * 10 + l_linenumber as id, l_quantity::double as q, floor(l_extendedprice / 100)::double as p,
   round(l_discount * 100)::double as d, round(l_tax * 100)::double as t, ascii(l_returnflag)::int as rf, ascii(l_linestatus)::int as ls, l_linenumber::int as ln from lineitem)"""
 ORDERS = "(select o_orderkey, o_custkey, floor(o_totalprice / 1000)::double as total, ascii(o_orderstatus)::int as os from orders)"
@@ -113,7 +114,8 @@ def linreg_predict(spark, sf) -> DataFrame:
 def linreg_bgd(spark, sf) -> DataFrame:
     t = Triple.from_row(cofactor(line(spark, sf), NUM, CAT[:1]).first()["triple"])
     exact, bgd = (LinearRegression.fit(t, 0, lam=0.01, normalize=True, include_variance=True, solver=s) for s in ("exact", "bgd"))
-    return line(spark, sf).select("id", *[F.round(m.predict(NUM[1:], CAT[:1]), 2).alias(n) for m, n in ((exact, "exact"), (bgd, "descended"))])
+    value, descended = (m.predict(NUM[1:], CAT[:1]) for m in (exact, bgd))
+    return line(spark, sf).select("id", F.round(value, 4).alias("exact"), F.round(F.abs(descended - value), 3).alias("apart"))
 
 
 def nb_fit(spark, sf) -> DataFrame:
@@ -311,6 +313,13 @@ s as (select l.row, l.id, l.rf, k.label, case when c.m is null then '-infinity':
   from l cross join k left join c on c.label = k.label and c.ls = l.ls)
 select id, rf, arg_max(label, score)::int as predicted from s group by row, id, rf"""
     fit = f"(select regr_slope(p, q) as slope, regr_intercept(p, q) as intercept from {LINE})"
+    withs = lambda parts, select: f"with {', '.join(parts)} {select}"
+    rows = f"(select *, row_number() over () as row from {LINE})"
+    one_hot = lambda c: [f"({c} = {v})::int" for v in VALUES[c]]
+    imputation = lambda seeds=None: withs(
+        [algebra_sql.cte("h", f"select id, q, p, d, t, rf, ls from {HOLES}"), *algebra_sql.imputed("h", NUM, {c: VALUES[c] for c in ("rf", "ls")}, ["rf", "q", "d"], 0.001, seeds)],
+        "select id, round(q, 3) as q, round(d, 3) as d, rf::int as rf from done",
+    )
     mode = "(select rf from (select rf, count(*) as n from h where rf is not null group by rf) order by n desc, rf limit 1)"
     return {
         "cofactor_grouped": long_sql(LINE, NUM, CAT[:1], ["ls"]),
@@ -338,6 +347,20 @@ select id, rf, arg_max(label, score)::int as predicted from s group by row, id,
         "nb_predict": nb,
         "lda_predict_1d": label("mu * q / pooled - 0.5 * mu * mu / pooled + ln(n / total)"),
         "qda_predict_1d": label("-0.5 * (q - mu) ** 2 / v - 0.5 * ln(v) + ln(n / total)"),
+        "linreg_descent": withs(
+            [algebra_sql.cte("l", f"select * from {LINE}"), *algebra_sql.regression("r", "l", "q", [*NUM[1:], *one_hot("rf")], "id", ridge=0.01)],
+            "select id, round(value, 4) as exact, 0.0::double as apart from r",
+        ),
+        "lda_predict_mixed": withs(
+            [algebra_sql.cte("l", f"select * from {LINE}"), *algebra_sql.discriminant("r", "l", "rf", VALUES["rf"], [*NUM, *one_hot("ls"), *one_hot("ln")], "id, rf", "true", 0.1, True)],
+            "select id, rf, value::int as predicted from r",
+        ),
+        "qda_predict_mixed": withs(
+            [algebra_sql.cte("l", f"select * from {rows}"), *algebra_sql.quadratic("r", "l", "rf", [*NUM, *one_hot("ls")[1:]], "id, rf")],
+            "select id, rf, value::int as predicted from r",
+        ),
+        **{f"mice_{s}": imputation() for s in ("baseline", "low", "high")},
+        "mice_stochastic": imputation({"q": 5, "d": 7}),
         "null_pattern_partition": pattern_sql(False),
         "null_pattern_inverse": pattern_sql(True),
         "mice_init_fill": f"with h as (select * from {HOLES}) select id, round(coalesce(q, (select avg(q) from h)), 6) as q, round(coalesce(d, (select avg(d) from h)), 6) as d, coalesce(rf, {mode})::int as rf from h",

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..ml.models import LDA, LinearRegression
 from ..ml.triple import Triple
-from ..operators.aggregate import cofactor
+from ..operators.aggregate import cofactor_long
 from ..scratch import Scratch
 
 MASK = "null_pattern"
@@ -120,7 +120,7 @@ def mice(
     was_null = lambda c: F.col(MASK).bitwiseAND(F.lit(bit[c])) != 0
     tables = _Tables(df.sparkSession)
     table = tables.save(init(df, num_nulls, cat_nulls))
-    aggregate = lambda rows: Triple.from_row(cofactor(rows, num, cat).first()["triple"])
+    aggregate = lambda rows: Triple.from_long(cofactor_long(rows, num, cat).collect(), len(num), len(cat))
     turns = [*cat_nulls, *num_nulls] if order == "cat_first" else [*num_nulls, *cat_nulls]
     steps = [(step, c) for step in range(iterations) for c in turns]
     full = aggregate(table) if strategy == "low" else None
@@ -152,7 +152,8 @@ def mice(
         if strategy == "low" and following:
             # Bit 0: null in this column, now imputed; bit 1: null in the next one.
             flag = was_null(c).cast("int") + 2 * was_null(following).cast("int")
-            parts = {r["__flag"]: Triple.from_row(r["triple"]) for r in cofactor(table.withColumn("__flag", flag).where("__flag > 0"), num, cat, ["__flag"]).collect()}
+            rows = cofactor_long(table.withColumn("__flag", flag).where("__flag > 0"), num, cat, ["__flag"]).collect()
+            parts = {f: Triple.from_long([r for r in rows if r["__flag"] == f], len(num), len(cat)) for f in (1, 2, 3)}
             total = lambda bit: sum((t for f, t in parts.items() if f & bit), Triple())  # noqa: B023, E731
             full, gone = train + total(1), total(2)
     kinds = {f.name: f.dataType for f in df.schema.fields}
