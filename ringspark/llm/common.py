@@ -2,37 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 #: Words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_made: list[tuple[SparkSession, str]] = []
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our
-    own (fit for local mode only) where that setting is unset."""
-    conf = spark.sparkContext.getConf()
-    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="ringspark-")
-            _made.append((spark, _own[app]))
-        base = _own[app]
-    return base
-
-
 #: Bytes of a batch that goes to a Python worker. The engine's own limit, 64 MB, asks for
 #: many times that much memory in a worker that holds texts and what it makes of them.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "64MB", "4MB")
@@ -45,41 +22,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, small)
 
 
-class Scratch:
-    """Tables written once to the shared folder, so that lost executors cost a
-    reread and not a recomputation.  Deleted by ``drop`` or when Python ends."""
-
+class Scratch(scratch.Scratch):
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
         small_batches(spark)
-        self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        _made.append((spark, self.root))
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.root}/{name}")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _cleanup() -> None:
-    for spark, path in _made:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # the session has ended; the folder is the cluster's to clean
-            pass
-
-
-atexit.register(_cleanup)
+        super().__init__(spark, name)
 
 
 def fold(id_col: str, n: int) -> Column:
