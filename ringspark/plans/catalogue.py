@@ -213,9 +213,8 @@ def encoded(spark, sf) -> DataFrame:
 
 
 def sql_surface(spark, sf) -> DataFrame:
-    sql.register(spark, [(2, 1)])
     line(spark, sf).createOrReplaceTempView("ring_line")
-    return explode_triple(spark.sql("select ls, sum_to_triple_2_1(q, p, rf) as triple from ring_line group by ls"), "triple", ["ls"])
+    return explode_triple(sql.query(spark, "select ls, sum_to_triple_2_1(q, p, rf) as triple from ring_line where ln > 0 group by ls having ls > 0"), "triple", ["ls"])
 
 
 def multiply_cross(spark, sf) -> DataFrame:
