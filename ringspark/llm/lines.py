@@ -9,8 +9,11 @@
    place) stays and the rest are repeats.
 2. Completion.  A chunk's end depends on the lines about it, so a passage of few lines may
    lie across chunks in one document and within one in another.  Every two neighbouring lines
-   outside the repeats found so far are a window, known by its digest; of the windows that are
-   alike over all documents the first (in the same order) stays and the rest are repeats.
+   that aren't both in one repeat found so far are a window; those whose digest occurs more than
+   once are compared by their bytes in the same way: of the windows that are equal over all
+   documents the first (in the same order) stays and the rest are repeats.  What the chunks have
+   found is left out before: the first window of its kind is never in a repeated chunk, as the
+   chunk that stays has it too.
 
 Runs of lines that repeats cover are cut out whole, wherever they lie and whatever is before
 and after them: of a passage of two or more lines no later copy stays.  The first occurrence of
@@ -28,7 +31,7 @@ caller's column with the result's name is kept under the next free name (``lines
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -65,27 +68,28 @@ def chunks(lines: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def _digest(*lines: bytes) -> bytes:
-    return blake2b(b"\n".join(lines), digest_size=16).digest()
+def _digest(body: bytes) -> bytes:
+    return blake2b(body, digest_size=16).digest()
 
 
-def windows(text: str | None) -> Iterator[tuple[int, bytes]]:
-    """First line and 128-bit digest of every two neighbouring lines that hold a character other than white space."""
+def windows(text: str | None, wanted: set[int] | None = None) -> Iterator[tuple[int, int, bytes, str]]:
+    """First line, number of lines (2), digest and text of every two neighbouring lines that aren't blank; of those at ``wanted`` only, if given."""
     lines = (text or "").split("\n")
     filled = [bool(x) and not x.isspace() for x in lines]
-    raw = [x.encode("utf-8", "surrogatepass") for x in lines]
     for k in range(len(lines) - 1):
-        if filled[k] or filled[k + 1]:
-            yield k, _digest(raw[k], raw[k + 1])
+        if (filled[k] or filled[k + 1]) and (wanted is None or k in wanted):
+            body = lines[k] + "\n" + lines[k + 1]
+            yield k, 2, _digest(body.encode("utf-8", "surrogatepass")), body
 
 
-def parts(text: str | None) -> Iterator[tuple[int, int, bytes, str]]:
-    """First line, number of lines, digest and text of every chunk that isn't blank."""
+def parts(text: str | None, wanted: set[int] | None = None) -> Iterator[tuple[int, int, bytes, str]]:
+    """First line, number of lines, digest and text of every chunk that isn't blank; of those at ``wanted`` only, if given."""
     lines = (text or "").split("\n")
     for first, n in chunks(lines):
-        body = "\n".join(lines[first : first + n])
-        if body and not body.isspace():
-            yield first, n, _digest(body.encode("utf-8", "surrogatepass")), body
+        if wanted is None or first in wanted:
+            body = "\n".join(lines[first : first + n])
+            if body and not body.isspace():
+                yield first, n, _digest(body.encode("utf-8", "surrogatepass")), body
 
 
 def repeats(lines: list[str], starts: list[int]) -> list[tuple[int, int]]:
@@ -109,8 +113,8 @@ def _rows(batch: pa.RecordBatch, found: list[tuple]) -> list[pa.Array]:
 NAMES = ["id", "h", "line", "n", "hash", "more"]
 
 
-def repeated_chunks(slim: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, h, line, n of the chunks that are byte for byte like an earlier one. slim: id, h, text; places: all chunks."""
+def _repeated(slim: DataFrame, places: DataFrame, pieces: Callable, scratch: Scratch, name: str) -> DataFrame:
+    """id, h, line, n of the pieces (chunks or windows) at ``places`` that are byte for byte like an earlier one there. slim: id, h, text."""
     twice = places.groupBy("hash", "more").agg(F.count("*").alias("times")).where("times > 1").select("hash", "more")
     chosen = places.join(twice, ["hash", "more"], "left_semi").groupBy("id", "h").agg(F.collect_set("line").alias("chosen"))
 
@@ -118,8 +122,7 @@ def repeated_chunks(slim: DataFrame, places: DataFrame, scratch: Scratch) -> Dat
         for batch in batches:
             found = []
             for row, (text, lines) in enumerate(zip(batch["text"].to_pylist(), batch["chosen"].to_pylist(), strict=True)):
-                wanted = set(lines)
-                found += [(row, *part) for part in parts(text) if part[0] in wanted]
+                found += [(row, *piece) for piece in pieces(text, set(lines))]
             yield pa.RecordBatch.from_arrays([*_rows(batch, found), pa.array([x[4] for x in found], pa.string())], [*NAMES, "body"])
 
     chosen = scratch.save(chosen, "chosen")
@@ -130,22 +133,26 @@ def repeated_chunks(slim: DataFrame, places: DataFrame, scratch: Scratch) -> Dat
     found = scratch.save(texts.mapInArrow(bodies, schema), "bodies")
     place = F.struct("id", "h", "line")
     kept = found.groupBy("hash", "more", "body").agg(F.min(place).alias("keep"), F.count("*").alias("times")).where("times > 1")
-    out = scratch.save(found.join(kept, ["hash", "more", "body"]).where(~place.eqNullSafe(F.col("keep"))).select("id", "h", "line", "n").distinct(), "chunks")
+    out = scratch.save(found.join(kept, ["hash", "more", "body"]).where(~place.eqNullSafe(F.col("keep"))).select("id", "h", "line", "n").distinct(), name)
     scratch.drop("chosen")
     scratch.drop("bodies")
     return out
 
 
-def repeated_windows(places: DataFrame, covered: DataFrame, scratch: Scratch) -> DataFrame:
-    """id, h, line of the windows that are like an earlier one, without those covered (id, h, line)."""
-    repeated = places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    again = scratch.save(places.join(repeated, "hash", "left_semi"), "again")
-    place = F.struct("id", "h", "line")
-    kept = again.groupBy("hash", "more").agg(F.min(place).alias("keep"), F.count("*").alias("times")).where("times > 1")
-    # What the chunks have found needs no second look; the first window of its kind is never among it.
+def repeated_chunks(slim: DataFrame, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, h, line, n of the chunks that are byte for byte like an earlier one. slim: id, h, text; places: all chunks."""
+    return _repeated(slim, places, parts, scratch, "chunks")
+
+
+def repeated_windows(slim: DataFrame, places: DataFrame, covered: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, h, line of the windows without those covered (id, h, line) that are byte for byte like an earlier one of these. places: all windows."""
     there = covered.select(F.col("id").alias("__i"), F.col("h").alias("__h"), F.col("line").alias("__l"))
-    left = again.join(there, again["id"].eqNullSafe(there["__i"]) & (again["h"] == there["__h"]) & (again["line"] == there["__l"]), "left_anti")
-    return left.join(kept, ["hash", "more"]).where(~place.eqNullSafe(F.col("keep"))).select("id", "h", "line")
+    same = places["id"].eqNullSafe(there["__i"]) & (places["h"] == there["__h"]) & (places["line"] == there["__l"])
+    # Written, as it is read twice; a merge join, like that of the texts.
+    outside = scratch.save(places.join(there.hint("merge"), same, "left_anti"), "outside")
+    out = _repeated(slim, outside, windows, scratch, "windows").select("id", "h", "line")
+    scratch.drop("outside")
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "lines") -> DataFrame:
@@ -160,14 +167,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out:
             found = []
             for row, text in enumerate(batch["text"].to_pylist()):
                 found += [(row, first, n, digest) for first, n, digest, _ in parts(text)]
-                found += [(row, k, 0, digest) for k, digest in windows(text)]
+                found += [(row, k, 0, digest) for k, _, digest, _ in windows(text)]
             yield pa.RecordBatch.from_arrays(_rows(batch, found), NAMES)
 
     places = scratch.save(slim.mapInArrow(placed, f"id {id_type}, h long, line int, n int, hash long, more long"), "places")
     first = repeated_chunks(slim, places.where("n > 0"), scratch)
     covered = first.select("id", "h", F.explode(F.sequence("line", F.col("line") + F.col("n") - 2)).alias("line"))
     # A blank window within a chunk is no window: it would take blank lines along that no repeat stands beside.
-    cut = covered.union(repeated_windows(places.where("n = 0").drop("n"), covered, scratch))
+    cut = covered.union(repeated_windows(slim, places.where("n = 0"), covered, scratch))
     cut = scratch.save(cut.groupBy("id", "h").agg(F.collect_set("line").alias("lines")), "cut")
 
     @F.pandas_udf("text string, n_lines long, n_removed long, n_chunks long")

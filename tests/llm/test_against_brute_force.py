@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ringspark.llm import common, language, lines, media, packing, pii, registry, toxicity
@@ -231,6 +232,28 @@ def test_chunks_alone_find_most_copies(spark):
     assert sum(r.n for r in out) >= 0.8 * 40 * 19 and min(r.id for r in out) >= 1
 
 
+def test_windows_are_compared_by_bytes(spark, monkeypatch):
+    """With a digest that tells nothing apart, chunks and windows that differ are still different."""
+    rng = np.random.default_rng(7)
+    rows = [(k, "\n".join(f"line {int(i)}" for i in rng.integers(0, 12, int(rng.integers(0, 9))))) for k in range(40)]
+    monkeypatch.setattr(lines, "_digest", lambda *_: bytes(16))
+    cloudpickle.register_pickle_by_value(lines)  # workers get the patched module
+    try:
+        out = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(lines)
+    assert {r.doc_id: (r.text, *r.lines) for r in out} == plain_line_dedup(rows)
+
+
+def test_windows_are_those_outside_the_chunks_found(spark, monkeypatch):
+    """What the chunk pass has found is neither looked up nor counted among the windows."""
+    rows = [(1, "a\nb"), (2, "x\na\nb\ny"), (3, "p\nq"), (4, "v\np\nq\nw")]
+    made_up = spark.createDataFrame(rows[:1], "id long, text string").selectExpr("id", "xxhash64(text) as h", "0 as line", "2 as n")
+    monkeypatch.setattr(lines, "repeated_chunks", lambda *_: made_up)
+    out = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "", 2: "x\na\nb\ny", 3: "p\nq", 4: "v\nw"}
+
+
 def test_pipeline_stages(spark):
     """Each stage over what the one before has kept."""
     import corpus_pipeline as C
